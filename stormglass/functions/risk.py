@@ -51,7 +51,8 @@ def warning_message(p: Column, threshold: Column | float) -> Column:
 
 
 def _number_text(c: Column, digits: int) -> Column:
-    # format_string writes the literal "null" for a missing value.
+    # format_string would write "null" for a missing value. A value whose shortest decimal
+    # form lies exactly half-way is rounded up.
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
 
 
