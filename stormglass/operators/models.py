@@ -137,7 +137,7 @@ def logistic_from_table(coef: DataFrame) -> LogisticModel:
 def fit_logistic(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET, C: float = 1.0,
                  penalty: str = "l2", l1_ratio: float | None = None,
                  scaler: Scaler | None = None, max_iter: int = 2_000,
-                 tol: float = 1e-9) -> LogisticModel:
+                 tol: float = 1e-6) -> LogisticModel:
     """Median-imputed, standardised, class-balanced logistic regression.
 
     Minimises C * sum(weight * loss) + penalty on scaled inputs. Spark divides the loss by

@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -57,6 +57,16 @@ def constant_columns(profile: DataFrame) -> DataFrame:
     return profile.where(F.col("unique_values") <= 1).select("feature")
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: r over rows that have both values, NULL if one of them is constant.
+
+    The built-in `corr` raises a division by zero there in ANSI mode.
+    """
+    a, b = a.cast("double"), b.cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlations(df: DataFrame, cols: Sequence[str], chunk: int = 120) -> DataFrame:
     """Pearson r of every column pair over the rows that have both values.
 
@@ -66,7 +76,7 @@ def correlations(df: DataFrame, cols: Sequence[str], chunk: int = 120) -> DataFr
     """
     pairs = list(combinations(cols, 2))
     if len(pairs) <= chunk:
-        one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(str(i))
+        one = df.agg(*[pearson(F.col(a), F.col(b)).alias(str(i))
                        for i, (a, b) in enumerate(pairs)])
         each = F.explode(F.array(*[
             F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),

@@ -38,7 +38,7 @@ CLASSIFIERS = {
 BOOSTED = {**CLASSIFIERS, "Boosted Trees": models.fit_boosted}
 
 
-def side_by_side(spark, work: Callable, items: Sequence, threads: int = 4) -> list:
+def side_by_side(spark, work: Callable, items: Sequence, threads: int = 8) -> list:
     """Run independent driver calls concurrently, keeping their order."""
     with ThreadPoolExecutor(min(threads, max(1, len(items)))) as pool:
         return list(pool.map(inheritable_thread_target(spark)(work), items))
@@ -178,9 +178,9 @@ def compare_regularisation(df: DataFrame, keys: Sequence[str], grid=REGULARISATI
     summary = evaluate.summarise_folds(
         folds, ["model"], ("precision", "recall", "f1", "pr_auc", "roc_auc", "retained_features"))
     # The period starts at position n // (k + 1) counted from 0, not at the first test row.
-    facts = data.rows.agg(F.max("pos").alias("n"), F.max(data.order).alias("_end"))
+    facts = data.rows.agg(F.max("pos").alias("_n"), F.max(data.order).alias("_end"))
     first = data.rows.crossJoin(facts).agg(  # `facts` is one row
-        F.min(F.when(F.col("pos") == F.floor(F.col("n") / (k + 1)) + 1, F.col(data.order)))
+        F.min(F.when(F.col("pos") == F.floor(F.col("_n") / (k + 1)) + 1, F.col(data.order)))
         .alias("_start"), F.max("_end").alias("_end"))
     summary = evaluate.false_alarms_per_year(
         summary.crossJoin(first), F.col("_start"), F.col("_end")).drop("_start", "_end")

@@ -51,10 +51,14 @@ def logistic(penalty, ratio=None):
 def nonzero(spark, t):
     _, rows = training(spark, t)
     rows, cols = models.model_inputs(rows, KEYS)
+    rows = materialise(rows.select(*KEYS, "date", fixed.TARGET, *cols), "inputs")
     scaler = models.fit_scaler(rows, cols)
-    found = [(name, models.nonzero_coefficients(models.fit_logistic(
-        rows, cols, penalty=p, C=c, l1_ratio=r, scaler=scaler)))
-        for name, p, c, r in validation.REGULARISATION_GRID]
+
+    def count(config):
+        name, p, c, r = config
+        return name, models.nonzero_coefficients(models.fit_logistic(
+            rows, cols, penalty=p, C=c, l1_ratio=r, scaler=scaler))
+    found = validation.side_by_side(spark, count, validation.REGULARISATION_GRID)
     return literal_table(spark, found, "model string, retained_features int")
 
 

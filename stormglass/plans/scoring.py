@@ -9,6 +9,7 @@ from .. import fixed
 from ..functions import (as_percent, bar_width, format_number, format_percent, interpretation,
                          warning_active, warning_level, warning_message, warning_tone)
 from ..operators import evaluate, explain, folds, index, ranking
+from ..operators.profile import pearson
 from ..operators.timeseries import persistence_forecast
 from ..sources import scored_documents, scored_lines
 from ..storage import materialise
@@ -77,7 +78,7 @@ def scorecard(rows):
     """Coefficients taken from the data itself: the correlation of a feature with the target."""
     stats = rows.agg(*[F.struct(
         F.median(c).alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale"),
-        F.corr(F.col(c), F.col(fixed.TARGET).cast("double")).alias("beta")).alias(c)
+        pearson(F.col(c), F.col(fixed.TARGET)).alias("beta")).alias(c)
         for c in CURATED])
     return stats.unpivot([], CURATED, "feature", "s").select("feature", "s.*")
 

@@ -16,5 +16,6 @@ def local_session(cores: int | str | None = None, app: str = "stormglass") -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
