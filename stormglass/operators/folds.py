@@ -94,12 +94,14 @@ def walk_forward_folds(df: DataFrame, order: str = "date", k: int = 5, unit: str
     return ordinal(df, order, tie, unit), fold_bounds(n, k, gap)
 
 
-def assign_test_folds(placed: DataFrame, folds: Sequence[Fold]) -> DataFrame:
-    """Keep test rows and add the number of their fold. Test blocks do not overlap."""
-    pos, fold = F.col("pos"), F.lit(None).cast("int")
-    for f in folds:
+def assign_test_folds(placed: DataFrame, folds: Sequence[Fold],
+                      keep_rest: bool = False) -> DataFrame:
+    """Test rows with the number of their fold; the other rows, if kept, have fold 0."""
+    pos, fold = F.col("pos"), F.lit(0)
+    for f in folds:  # test blocks do not overlap
         fold = F.when(pos.between(f.test_start, f.test_end), f.fold).otherwise(fold)
-    return placed.withColumn("fold", fold).where(F.col("fold").isNotNull())
+    rows = placed.withColumn("fold", fold)
+    return rows if keep_rest else rows.where("fold > 0")
 
 
 def fold_summary(placed: DataFrame, folds: Sequence[Fold], order: str = "date",

@@ -1,8 +1,10 @@
 """Benchmarks, walk-forward validation, comparisons and the final fit.
 
-Folds are filters on one materialised table of model inputs. Imputation and scaling
-depend on the fold only, so they are computed once per fold and shared by all models
-that are fitted on it. Folds run side by side from a few driver threads.
+Folds are partition filters on one materialised table of model inputs. Imputation and
+scaling depend on the fold only, so they are computed once per fold and shared by all
+models that are fitted on it. The test rows of a fold are scanned once for all models.
+Fits on small data run side by side from a few driver threads; on large data every fit
+fills the cluster by itself.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .reshape import union_all
 from .timeseries import persistence_forecast
 
 BASELINE = "Majority-Class Baseline"
+SMALL_ROWS = 1_000_000
 
 REGULARISATION_GRID = tuple(
     (f"{label} C={c:.2f}", penalty, c, ratio)
@@ -40,13 +43,15 @@ BOOSTED = {**CLASSIFIERS, "Boosted Trees": models.fit_boosted}
 
 def side_by_side(spark, work: Callable, items: Sequence, threads: int = 8) -> list:
     """Run independent driver calls concurrently, keeping their order."""
+    if threads == 1:
+        return [work(x) for x in items]
     with ThreadPoolExecutor(min(threads, max(1, len(items)))) as pool:
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
 @dataclass(frozen=True)
 class FoldedData:
-    """Model inputs with `pos`, the folds, and one scaler per fold and feature set."""
+    """Model inputs with `pos` and their test `fold` (0: never tested), and a scaler per fold."""
 
     rows: DataFrame
     cols: list[str]
@@ -55,12 +60,21 @@ class FoldedData:
     target: str
     folds: list[Fold]
     scalers: dict[int, models.Scaler]
+    threads: int
 
     def train(self, f: Fold) -> DataFrame:
-        return self.rows.where(F.col("pos") <= f.train_end)
+        return train_rows(self.rows, f)
 
-    def test(self) -> DataFrame:
-        return assign_test_folds(self.rows, self.folds)
+    def test(self, f: Fold) -> DataFrame:
+        return self.rows.where(F.col("fold") == f.fold)
+
+    def tested(self) -> DataFrame:
+        return self.rows.where(F.col("fold").isin([f.fold for f in self.folds]))
+
+
+def train_rows(rows: DataFrame, f: Fold) -> DataFrame:
+    """Everything before the test block, less a gap. The fold prunes whole partitions."""
+    return rows.where((F.col("fold") < f.fold) & (F.col("pos") <= f.train_end))
 
 
 def prepare_folds(df: DataFrame, keys: Sequence[str], order: str = "date", k: int = 5,
@@ -71,16 +85,17 @@ def prepare_folds(df: DataFrame, keys: Sequence[str], order: str = "date", k: in
     cols = list(cols or found)
     need = list(dict.fromkeys([*keys, order, target, *cols, "ECON_STRESS"]))
     placed, folds = walk_forward_folds(labelled.select(*need), order, k, unit, list(keys), gap)
-    rows = materialise(placed, "folds")
+    rows = materialise(assign_test_folds(placed, folds, keep_rest=True), "folds", ["fold"])
+    threads = 8 if rows.count() <= SMALL_ROWS else 1
     if target == fixed.TARGET:
         counts = rows.agg(*[
             F.count_distinct(F.when(F.col("pos") <= f.train_end, F.col(target)))
             for f in folds]).first()
         folds = [f for f, classes in zip(folds, counts) if classes == 2]
-    scalers = side_by_side(df.sparkSession, lambda f: models.fit_scaler(
-        rows.where(F.col("pos") <= f.train_end), cols), folds)
+    scalers = side_by_side(df.sparkSession, lambda f: models.fit_scaler(train_rows(rows, f), cols),
+                           folds, threads)
     return FoldedData(rows, cols, list(keys), order, target, folds,
-                      {f.fold: s for f, s in zip(folds, scalers)})
+                      {f.fold: s for f, s in zip(folds, scalers)}, threads)
 
 
 def _narrow(scaler: models.Scaler, cols: Sequence[str]) -> models.Scaler:
@@ -104,16 +119,24 @@ def out_of_fold(data: FoldedData, fits: Mapping[str, Callable],
         return fits[name](data.train(f), use, target=data.target,
                           scaler=_narrow(data.scalers[f.fold], use))
     spark = data.rows.sparkSession
-    fitted = dict(zip([(n, f.fold) for n, f in jobs], side_by_side(spark, run, jobs)))
-    parts = []
-    for name, f in jobs:
-        rows = data.rows.where(F.col("pos").between(f.test_start, f.test_end))
-        parts.append(fitted[name, f.fold].score(rows, score).select(
-            F.lit(name).alias("model"), F.lit(f.fold).alias("fold"), *data.keys, data.order,
-            F.col(data.target).alias("actual"), score))
+    fitted = dict(zip([(n, f.fold) for n, f in jobs],
+                      side_by_side(spark, run, jobs, data.threads)))
+    parts = [score_all(data.test(f), {n: fitted[n, f.fold] for n in fits}, score).select(
+        "model", "fold", *data.keys, data.order, F.col(data.target).alias("actual"), score)
+        for f in data.folds]
     return materialise(union_all(parts), "scored"), fitted
 
 
+def score_all(rows: DataFrame, fitted: Mapping[str, object], score: str) -> DataFrame:
+    """One row per row and model, with the scores of all models taken in one scan."""
+    names = list(fitted)
+    for i, name in enumerate(names):
+        rows = fitted[name].score(rows, f"_score{i}")
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_score{i}").alias(score))
+                              for i, n in enumerate(names)]))
+    return rows.select("*", each).drop(*[f"_score{i}" for i in range(len(names))])
+
+
 def fold_metrics(scored: DataFrame, data: FoldedData, threshold: float) -> DataFrame:
     """Metrics per model and fold with the dates and positives of the fold."""
     metrics = evaluate.classification_metrics(scored, ["model", "fold"], threshold)
@@ -201,9 +224,8 @@ def benchmark(df: DataFrame, keys: Sequence[str], order: str = "date", frac: flo
     train, test = rows.where("is_train"), rows.where("not is_train")
     scaler = models.fit_scaler(train, cols)
     fitted = {n: fit(train, cols, target=fixed.TARGET, scaler=scaler) for n, fit in fits.items()}
-    scored = union_all([m.score(test).select(F.lit(n).alias("model"),
-                                             F.col(fixed.TARGET).alias("actual"), "probability")
-                        for n, m in fitted.items()])
+    scored = score_all(test, fitted, "probability").select(
+        "model", F.col(fixed.TARGET).alias("actual"), "probability")
     table = evaluate.classification_metrics(materialise(scored, "scored"), ["model"], threshold)
     best = evaluate.best_row(table.where(F.col("model") != BASELINE),
                              [F.desc("f1"), F.asc("model")]).first()["model"]
@@ -228,8 +250,8 @@ def benchmark_regression(df: DataFrame, keys: Sequence[str], order: str = "date"
         "Random Forest - Macro Only": forest(train, macro, scaler=narrow),
         "Linear Regression": models.fit_linear(train, macro, scaler=narrow),
     }
-    parts = [persistence_forecast(test).withColumn("model", F.lit("Persistence Baseline"))]
-    parts += [m.score(test, "prediction").withColumn("model", F.lit(n)) for n, m in fitted.items()]
+    parts = [persistence_forecast(test).withColumn("model", F.lit("Persistence Baseline")),
+             score_all(test, fitted, "prediction")]
     scored = union_all([p.select("model", F.col(fixed.LEVEL_TARGET).alias("actual"), "prediction")
                         for p in parts])
     table = evaluate.regression_metrics(materialise(scored, "scored"), ["model"])
@@ -244,7 +266,7 @@ def walk_forward_regression(df: DataFrame, keys: Sequence[str], order: str = "da
     data = prepare_folds(df, keys, order, k, unit, target=fixed.LEVEL_TARGET)
     scored, _ = out_of_fold(data, {"model": partial(models.fit_forest_regressor, trees=trees)},
                             score="prediction")
-    rows = persistence_forecast(data.test()).select(
+    rows = persistence_forecast(data.tested()).select(
         F.lit("persistence").alias("model"), "fold", F.col(data.target).alias("actual"),
         "prediction")
     both = rows.unionByName(scored.select(*rows.columns))
