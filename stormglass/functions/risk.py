@@ -64,6 +64,15 @@ def format_percent(c: Column, digits: int = 1) -> Column:
     return F.coalesce(F.concat(_number_text(c * 100, digits), F.lit("%")), F.lit("—"))
 
 
+def gauge_percent(p: Column) -> Column:
+    """Percent of a gauge, kept within 0 and 100."""
+    return F.least(F.greatest(p * 100, F.lit(0.0)), F.lit(100.0))
+
+
+def day_label(d: Column) -> Column:
+    return F.coalesce(F.date_format(d, "MMM d, yyyy"), F.lit("Unavailable"))
+
+
 def month_label(d: Column) -> Column:
     return F.coalesce(F.date_format(d, "MMM yyyy"), F.lit(""))
 

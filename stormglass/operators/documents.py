@@ -123,9 +123,9 @@ def risk_document(assessment: DataFrame, explanation: DataFrame, folds: DataFram
     The validation figures are the means over `folds`, computed here.
     """
     good, rejected = match_dates(assessment, explanation, keys)
-    means = summarise_folds(folds, [], total=()).select(F.struct(
-        F.lit(fixed.VALIDATION_METHOD).alias("method"), "average_precision", "average_recall",
-        "average_f1", "average_pr_auc", "average_roc_auc").alias("_validation"))
+    means = summarise_folds(folds, [], total=()).drop("folds").first().asDict()
+    validation = F.struct(F.lit(fixed.VALIDATION_METHOD).alias("method"),
+                          *[F.lit(v).cast("double").alias(k) for k, v in means.items()])
     p, t = F.col("risk_probability"), F.col("warning_threshold")
 
     def categories(col):
@@ -137,7 +137,7 @@ def risk_document(assessment: DataFrame, explanation: DataFrame, folds: DataFram
         return F.transform(F.slice(col, 1, 5), lambda r: F.struct(
             r["feature"].alias("feature"), r["group"].alias("category"),
             r["value"].alias("value"), r["shap_value"].alias("contribution")))
-    documents = good.crossJoin(means).select(  # `means` is one row
+    documents = good.select(
         *keys, F.lit("success").alias("status"),
         F.current_timestamp().alias("generated_at_utc"),
         F.struct(_iso("observation_date").alias("observation_date"), "current_stress",
@@ -152,7 +152,7 @@ def risk_document(assessment: DataFrame, explanation: DataFrame, folds: DataFram
         F.struct(F.col("model_name").alias("name"), F.lit(penalty).alias("penalty"),
                  F.lit(c).alias("regularization_c"), F.lit(feature_count).alias("feature_count"),
                  F.lit(fixed.TARGET_TEXT).alias("target"), "forecast_horizon_months",
-                 t.alias("decision_threshold"), F.col("_validation").alias("validation"))
+                 t.alias("decision_threshold"), validation.alias("validation"))
         .alias("model"),
         F.struct(interpretation(p).alias("summary"),
                  warning_message(p, t).alias("warning_message")).alias("interpretation"),

@@ -46,13 +46,12 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (),
                            threshold: float = fixed.ALERT_THRESHOLD,
                            ranking: bool = True) -> DataFrame:
     """Counts and rates at a threshold, with the exact ranking metrics on request."""
-    rates = with_rates(confusion(df, by, threshold))
     if not ranking:
-        return rates
-    ranks = ranking_metrics(df, by)
-    if by:
-        return rates.join(ranks, list(by))
-    return rates.crossJoin(ranks)  # one row on each side
+        return with_rates(confusion(df, by, threshold))
+    if not by:
+        whole = df.withColumn("_all", F.lit(1))
+        return classification_metrics(whole, ["_all"], threshold).drop("_all")
+    return with_rates(confusion(df, by, threshold)).join(ranking_metrics(df, by), list(by))
 
 
 def threshold_sweep(scored: DataFrame, thresholds: Sequence[float] = fixed.THRESHOLDS,
@@ -114,7 +113,10 @@ def summarise_folds(folds: DataFrame, by: Sequence[str],
 
 
 def false_alarms_per_year(summary: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Total false positives over the years between two dates."""
+    """Total false positives over the years between two dates.
+
+    The dates are columns, or literals where one period holds for all rows.
+    """
     years = F.datediff(end, start) / 365.25
     return summary.withColumn("false_alarms_per_year",
                               F.try_divide(F.col("total_false_positives"), years))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,19 +53,16 @@ def ordinal(df: DataFrame, order: str = "date", tie: Sequence[str] = (), unit: s
             .drop("_mix", "_slice", "_before"))
 
 
-def split_point(n: Column, frac: float = 0.8) -> Column:
-    return F.floor(n * frac)
+def count_positions(df: DataFrame, order: str = "date", unit: str = "row") -> int:
+    """Number of rows, or of distinct dates."""
+    return df.agg(F.count_distinct(order) if unit == "date" else F.count("*")).first()[0]
 
 
 def chronological_split(df: DataFrame, order: str = "date", frac: float = 0.8,
                         unit: str = "row", tie: Sequence[str] = ()) -> DataFrame:
     """Add `is_train`: true for the first floor(frac * n) positions."""
-    placed = ordinal(df, order, tie, unit)
-    size = df.agg(F.count_distinct(order) if unit == "date" else F.count("*")) \
-        .toDF("_n")
-    return (placed.crossJoin(size)  # a single row
-            .withColumn("is_train", F.col("pos") <= split_point(F.col("_n"), frac))
-            .drop("_n"))
+    n = count_positions(df, order, unit)
+    return ordinal(df, order, tie, unit).withColumn("is_train", F.col("pos") <= int(n * frac))
 
 
 @dataclass(frozen=True)
@@ -90,8 +87,7 @@ def fold_bounds(n: int, k: int = 5, gap: int = 0) -> list[Fold]:
 def walk_forward_folds(df: DataFrame, order: str = "date", k: int = 5, unit: str = "row",
                        tie: Sequence[str] = (), gap: int = 0) -> tuple[DataFrame, list[Fold]]:
     """The frame with `pos`, and the fold bounds. One number is read by the driver."""
-    n = df.agg(F.count_distinct(order) if unit == "date" else F.count("*")).first()[0]
-    return ordinal(df, order, tie, unit), fold_bounds(n, k, gap)
+    return ordinal(df, order, tie, unit), fold_bounds(count_positions(df, order, unit), k, gap)
 
 
 def assign_test_folds(placed: DataFrame, folds: Sequence[Fold],

@@ -186,9 +186,22 @@ def compare_feature_sets(df: DataFrame, keys: Sequence[str],
     return folds, summary.orderBy(F.desc("average_pr_auc"), F.desc("average_f1"), "model")
 
 
+def fold_period(data: FoldedData, k: int, start: str = "position") -> tuple:
+    """First and last date over which false alarms are counted.
+
+    'position' starts at position n // (k + 1), counted from 0, which need not be the first
+    test row; 'first_test' starts at the first test row.
+    """
+    n = data.rows.agg(F.max("pos")).first()[0]
+    first = n // (k + 1) + 1 if start == "position" else data.folds[0].test_start
+    return data.rows.agg(F.min(F.when(F.col("pos") == first, F.col(data.order))),
+                         F.max(data.order)).first()[:]
+
+
 def compare_regularisation(df: DataFrame, keys: Sequence[str], grid=REGULARISATION_GRID,
                            threshold: float = fixed.ALERT_THRESHOLD, order: str = "date",
-                           k: int = 5, unit: str = "date") -> tuple[DataFrame, DataFrame]:
+                           k: int = 5, unit: str = "date",
+                           alarm_start: str = "position") -> tuple[DataFrame, DataFrame]:
     """Nine penalties over identical folds, with retained features and false alarms a year."""
     data = prepare_folds(df, keys, order, k, unit)
     fits = {name: partial(models.fit_logistic, penalty=p, C=c, l1_ratio=r)
@@ -200,13 +213,8 @@ def compare_regularisation(df: DataFrame, keys: Sequence[str], grid=REGULARISATI
     folds = fold_metrics(scored, data, threshold).join(kept, ["model", "fold"])
     summary = evaluate.summarise_folds(
         folds, ["model"], ("precision", "recall", "f1", "pr_auc", "roc_auc", "retained_features"))
-    # The period starts at position n // (k + 1) counted from 0, not at the first test row.
-    facts = data.rows.agg(F.max("pos").alias("_n"), F.max(data.order).alias("_end"))
-    first = data.rows.crossJoin(facts).agg(  # `facts` is one row
-        F.min(F.when(F.col("pos") == F.floor(F.col("_n") / (k + 1)) + 1, F.col(data.order)))
-        .alias("_start"), F.max("_end").alias("_end"))
-    summary = evaluate.false_alarms_per_year(
-        summary.crossJoin(first), F.col("_start"), F.col("_end")).drop("_start", "_end")
+    dates = fold_period(data, k, alarm_start)
+    summary = evaluate.false_alarms_per_year(summary, *[F.lit(d) for d in dates])
     return folds, summary.orderBy(F.desc("average_pr_auc"), F.desc("average_f1"),
                                   "total_false_positives", "model")
 
@@ -291,14 +299,17 @@ def train_final(df: DataFrame, keys: Sequence[str], threshold: float, order: str
     labelled, cols = models.model_inputs(df, keys)
     rows = materialise(labelled.select(*keys, order, fixed.TARGET, *cols), "training")
     model = models.fit_logistic(rows, cols)
-    metadata = evaluate.class_counts(rows, actual=fixed.TARGET).crossJoin(  # one row each
-        rows.agg(F.min(order).alias("training_start"), F.max(order).alias("training_end")))
+    metadata = rows.agg(
+        F.count("*").alias("training_rows"),
+        F.count_if(F.col(fixed.TARGET) == 1).alias("positive_training_cases"),
+        F.count_if(F.col(fixed.TARGET) == 0).alias("negative_training_cases"),
+        F.min(order).alias("training_start"), F.max(order).alias("training_end"))
     return model, metadata.select(
         F.lit(name).alias("model_name"), F.lit(fixed.TARGET).alias("target"),
         F.lit(fixed.HORIZON_MONTHS).alias("forecast_horizon_months"),
         F.lit(float(threshold)).alias("warning_threshold"),
-        F.col("rows").alias("training_rows"), F.col("positives").alias("positive_training_cases"),
-        F.col("negatives").alias("negative_training_cases"), "training_start", "training_end",
+        "training_rows", "positive_training_cases", "negative_training_cases", "training_start",
+        "training_end",
         F.lit(len(model.scaler.features)).alias("feature_count"),
         F.array(*[F.lit(c) for c in model.scaler.features]).alias("feature_names"),
         F.current_timestamp().alias("created_at_utc"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import (clean_text, clean_values, conform, lenient_double, month_label,
-                         numeric_columns, to_flag, year_label)
+from ..functions import (clean_text, clean_values, conform, day_label, gauge_percent,
+                         lenient_double, month_label, numeric_columns, to_flag, year_label)
 from ..operators import index, intervals, reshape, timeseries
 from ..operators.documents import history_records, history_summary
 from ..sources import (macro_obs, read_observation_json, read_series, read_wide, write_documents,
@@ -349,10 +349,13 @@ def queries() -> list[Query]:
         Query("scalar_date_labels",
               lambda s, t: chain.monthly(t).select("entity", "date", month_label(F.col("date"))
                                                    .alias("month"), year_label(F.col("date"))
-                                                   .alias("year")),
-              {**ROW, "month": "s", "year": "s"},
-              "SELECT entity, date, strftime(date, '%b %Y') AS month, strftime(date, '%Y') AS year "
-              "FROM monthly", seg["monthly"]),
+                                                   .alias("year"), day_label(F.col("date"))
+                                                   .alias("day"), gauge_percent(
+                                                       F.col("VIX") - 1.2).alias("gauge")),
+              {**ROW, "month": "s", "year": "s", "day": "s", "gauge": "f6"},
+              "SELECT entity, date, strftime(date, '%b %Y') AS month, strftime(date, '%Y') AS year, "
+              "strftime(date, '%b %-d, %Y') AS day, least(greatest((VIX - 1.2) * 100, 0), 100) "
+              "AS gauge FROM monthly", seg["monthly"]),
 
         Query("c1_monthly_table", lambda s, t: chain.monthly(t), {**ROW, **SERIES6},
               "SELECT * FROM monthly", seg["monthly"]),

@@ -95,7 +95,8 @@ def saved_model(spark, t):
     path = save_model(model, metadata, scratch_path(spark, "model"))
     loaded, meta = load_model(spark, path)
     scored = models.score_latest(latest_rows(full, KEYS), loaded, KEYS)
-    return scored.crossJoin(meta.select("training_rows", "feature_count"))  # one row
+    m = meta.first()  # one row
+    return scored.withColumns({c: F.lit(m[c]) for c in ("training_rows", "feature_count")})
 
 
 def latest_scores(spark, t):

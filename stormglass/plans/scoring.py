@@ -76,8 +76,9 @@ def fold_rows(spark, t):
 
 def scorecard(rows):
     """Coefficients taken from the data itself: the correlation of a feature with the target."""
+    medians = ranking.exact_medians(rows, CURATED)
     stats = rows.agg(*[F.struct(
-        F.median(c).alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale"),
+        F.lit(medians[c]).alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale"),
         pearson(F.col(c), F.col(fixed.TARGET)).alias("beta")).alias(c)
         for c in CURATED])
     return stats.unpivot([], CURATED, "feature", "s").select("feature", "s.*")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import clean_number, clean_values, lenient_double
+from ..storage import literal_table
 
 OBSERVATIONS = "observations array<struct<date:string,value:string>>"
 RECORD = "array<struct<countryiso3code:string,date:string,value:string>>"
@@ -116,3 +117,22 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no snapshot is available at {path}") from e
         raise
+
+
+def snapshot_status(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """One row: whether snapshots can be read at the path, how many, and what is wrong if none."""
+    kinds = "snapshot_available boolean, documents bigint, detail string"
+    try:
+        docs = read_documents(spark, path, schema)
+    except FileNotFoundError as e:
+        return literal_table(spark, [(False, 0, str(e))], kinds)
+    n = F.count("*")
+    return docs.agg((n > 0).alias("snapshot_available"), n.alias("documents"),
+                    F.when(n == 0, "no documents").alias("detail"))
+
+
+def series_catalogue(spark: SparkSession) -> DataFrame:
+    """(series_id, label, column, rule): what each source series is and becomes."""
+    rows = [(s, label, fixed.SERIES_COLUMNS[s], fixed.MONTHLY_RULES[fixed.SERIES_COLUMNS[s]])
+            for s, label in fixed.SERIES_LABELS.items()]
+    return literal_table(spark, rows, "series_id string, label string, column string, rule string")

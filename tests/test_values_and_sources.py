@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from stormglass import fixed, functions as fn
 from stormglass.operators import reshape, profile
 from stormglass.sources import (explode_envelopes, read_documents, read_envelopes,
-                                read_observation_json, read_series, validate_envelopes,
-                                write_documents)
+                                read_observation_json, read_series, series_catalogue, snapshot_status,
+                                validate_envelopes, write_documents)
 
 NAN, INF = float("nan"), float("inf")
 
@@ -116,7 +116,10 @@ def test_envelope_rows(spark, tmp_path):
 def test_documents_need_a_path_and_sound_json(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_documents(spark, str(tmp_path / "none"), "a int")
+    gone = snapshot_status(spark, str(tmp_path / "none"), "a int").first()
+    assert gone.snapshot_available is False and "none" in gone.detail
     path = write_documents(values(spark, "string", "x", None), str(tmp_path / "docs"))
+    assert snapshot_status(spark, path, "i int, v string").first()[:] == (True, 2, None)
     assert rows(read_documents(spark, path, "i int, v string"), "i") == [(0, "x"), (1, None)]
     (tmp_path / "bad.json").write_text('{"i": 1')
     with pytest.raises(Exception, match="MALFORMED|Malformed"):
@@ -186,3 +189,12 @@ def test_audit(spark):
     audit = profile.feature_audit(numbers(spark).withColumn("RAW_ECON_STRESS", F.lit(1.0)))
     assert audit["feature_count"] == 4 and audit["high_correlations"].count() == 1
     assert audit["feature_summary"].first().feature == "c"
+
+
+def test_catalogue_and_labels(spark):
+    known = {r.column: (r.series_id, r.rule) for r in series_catalogue(spark).collect()}
+    assert set(known) == set(fixed.SERIES) and known["TREASURY"] == ("DGS10", "mean")
+    df = spark.createDataFrame([(0, day("2026-07-01"), 1.5), (1, None, -0.5)], "i int, d date, p double")
+    assert got(df, fn.day_label(F.col("d"))) == ["Jul 1, 2026", "Unavailable"]
+    assert got(df, fn.month_label(F.col("d"))) == ["Jul 2026", ""]
+    assert got(df, fn.gauge_percent(F.col("p"))) == [100.0, 0.0]
