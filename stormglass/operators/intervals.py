@@ -39,6 +39,17 @@ def label_periods(df: DataFrame, order: str, periods: DataFrame,
             .drop("_at", "_name"))
 
 
+def label_listed_periods(df: DataFrame, order: str = "date",
+                         periods=fixed.CRISIS_PERIODS) -> DataFrame:
+    """`label_periods` for a short configured list: conditions on the date, without a join."""
+    name = F.lit(None).cast("string")
+    for start, end, text in periods:  # a later period is tested first
+        inside = F.col(order).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        name = F.when(inside, F.lit(text)).otherwise(name)
+    return df.withColumns({"CRISIS": name.isNotNull().cast("int"),
+                           "CRISIS_NAME": F.coalesce(name, F.lit("None"))})
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str = "date", flag: str = "CRISIS",
             name: str = "CRISIS_NAME") -> DataFrame:
     """Runs of consecutive flagged rows with one name -> (keys, name, start, end)."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed
 from ..operators.index import forward_targets, stress_index
-from ..operators.intervals import label_periods, periods_table
+from ..operators.intervals import label_listed_periods
 from ..operators.reshape import series_to_wide
 from ..operators.timeseries import create_features, to_monthly
 from ..sources import macro_obs
@@ -43,7 +43,7 @@ def stress(t: Tables, entity: str = "c_mktsegment",
 
 def labelled(spark: SparkSession, t: Tables, entity: str = "c_mktsegment",
              min_periods: int = fixed.MIN_PERIODS) -> DataFrame:
-    return label_periods(stress(t, entity, min_periods), "date", periods_table(spark), "month")
+    return label_listed_periods(stress(t, entity, min_periods))
 
 
 def targets(spark: SparkSession, t: Tables, entity: str = "c_mktsegment",

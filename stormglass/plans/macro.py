@@ -246,7 +246,10 @@ def queries() -> list[Query]:
               "SELECT * FROM wide", seg["wide"]),
         Query("j1_full_outer_merge", full_outer, {**ROW, **SERIES6}, "SELECT * FROM wide",
               seg["wide"]),
-        Query("j5_period_labels", lambda s, t: chain.labelled(s, t), {**ROW, **label},
+        Query("j5_period_labels", lambda s, t: intervals.label_periods(
+            chain.stress(t), "date", intervals.periods_table(s), "month"), {**ROW, **label},
+              "SELECT * FROM labelled", seg["labelled"]),
+        Query("j5_c4_listed_period_labels", lambda s, t: chain.labelled(s, t), {**ROW, **label},
               "SELECT * FROM labelled", seg["labelled"]),
         Query("j5_overlapping_day_labels", day_labels, {**ROW, "value": "f4", **label},
               f"""SELECT entity, date, value,

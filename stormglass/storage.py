@@ -16,9 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if named:
+        if not current:  # iterative fits cut their lineage there
+            spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not spark.sparkContext.master.startswith("local"):

@@ -13,7 +13,11 @@ def test_bounds_are_inside_and_the_last_listed_period_wins(spark):
     periods = iv.periods_table(spark, [("2000-01-10", "2000-03-01", "one"),
                                        ("2000-02-01", "2000-02-05", "two")])
     df = days(spark, "2000-01-09", "2000-01-10", "2000-02-01", "2000-02-06", "2000-03-01", "2000-03-02")
-    got = rows(iv.label_periods(df, "date", periods).select("date", "CRISIS", "CRISIS_NAME"), "date")
+    labelled = iv.label_periods(df, "date", periods)
+    got = rows(labelled.select("date", "CRISIS", "CRISIS_NAME"), "date")
+    listed = iv.label_listed_periods(df, "date", [("2000-01-10", "2000-03-01", "one"),
+                                                  ("2000-02-01", "2000-02-05", "two")])
+    assert rows(listed, "date") == rows(labelled, "date")
     assert [r[1:] for r in got] == [(0, "None"), (1, "one"), (1, "two"), (1, "one"), (1, "one"),
                                     (0, "None")]
 
