@@ -4,10 +4,12 @@ Two documents link when 100 * |A and B| >= percent * |A or B|, for A and B the s
 shingles (64-bit hashes). The steps:
 
 1. *Classes.* Documents with equal sets form a class; only classes are compared.
-2. *Buckets.* In one order of all shingles (rare ones by hash, then the most frequent ones by
-   frequency) linked sets must share one of their first n - ceil(percent * n / 100) + 1
-   shingles. These are the bucket keys. The table of frequent shingles has a fixed size and
-   only decides the order, hence the cost.
+2. *Buckets.* Let p = n - ceil(percent * n / 100) + 1 and l = (p + 1) div 2. In one order of
+   all shingles (rare ones by hash, then the most frequent ones by frequency) two linked sets
+   share at least the smaller l of their shingles among the first p + l - 1 of either. Those are
+   the bucket keys. A class with fewer shared keys than any partner would demand has no link
+   and leaves. The table of frequent shingles has a fixed size and only decides the order,
+   hence the cost.
 3. *Star.* Every class is compared with the bucket leader with which it shares most buckets.
    Links found so far are merged to components, so groups of near copies collapse in linear
    work.
@@ -46,8 +48,7 @@ FREQUENT = 65_536       # entries of the table that orders frequent shingles
 BATCH_FREQUENT = 8      # a shingle is reported from a batch that holds it in so many documents
 BLOCK = 1_024           # members of a bucket that go to a task together
 LEAF, FANOUT = 32, 8
-LIMIT_BROADCAST = 2_000_000  # class ids sent to the tasks; with more, a join takes over
-_NONE = -(1 << 63)
+LIMIT_BROADCAST = 2_000_000  # ids broadcast to filter texts; with more, the join shuffles
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -89,13 +90,25 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.array([r[0] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
+def key_counts(n: int, percent: int) -> tuple[int, int]:
+    """Bucket keys of a set of size n, and l: how many of them linked sets share at least."""
+    p = n - (percent * n + 99) // 100 + 1
+    share = (p + 1) // 2
+    return min(n, p + share - 1), share
+
+
+def _least_shared(n, percent: int):
+    """l of a set of size n, as a Column."""
+    return F.floor((n - F.ceil(n * percent / F.lit(100)) + 2) / 2)
+
+
 class _Order:
     def __init__(self, frequent: np.ndarray):
         self.rank = np.argsort(frequent)
         self.keys = frequent[self.rank]
 
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
-        length = len(s) - (percent * len(s) + 99) // 100 + 1
+        length, _ = key_counts(len(s), percent)
         if not len(self.keys):
             return s[:length]
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
@@ -125,26 +138,13 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, order: _Or
             "prefix": T.list_array(pa.array(T.signed(flat)), bounds)})
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], size: int, wanted: tuple[np.ndarray, np.ndarray] | None
-               ) -> Iterator[pa.RecordBatch]:
-    """(cls, shingles) of the wanted classes, from the document that stands for each."""
+def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(cls, shingles) of each document that has shingles."""
     for batch in batches:
-        ids, out, classes, seen = batch.column(0).to_pylist(), [], [], set()
-        for i, s in zip(ids, _batch_sets(batch.column(1), size)):
-            if not len(s):
-                continue
-            c = _class_id(s)
-            if wanted is not None:
-                at = int(np.searchsorted(wanted[0], c))
-                if at == len(wanted[0]) or wanted[0][at] != c or wanted[1][at] != (_NONE if i is None else i):
-                    continue
-            if c not in seen:
-                seen.add(c)
-                classes.append(c)
-                out.append(s)
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in out], dtype=np.int64)])
-        flat = np.concatenate([*out, np.zeros(0, np.uint64)]).astype(np.uint64)
-        yield pa.RecordBatch.from_pydict({"cls": pa.array(classes, pa.int64()),
+        sets = [x for x in _batch_sets(batch.column(0), size) if len(x)]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
+        yield pa.RecordBatch.from_pydict({"cls": pa.array([_class_id(x) for x in sets], pa.int64()),
                                           "shingles": T.list_array(pa.array(T.signed(flat)), bounds)})
 
 
@@ -155,7 +155,7 @@ def _fits(a, b, percent: int):
 
 def bitmap_bytes(n: int) -> int:
     """Bytes of the bitmap of a set of n: a power of two, at least four bits a shingle."""
-    return max(32, 1 << int(np.ceil(np.log2(max(1, n) / 2))))
+    return max(32, 1 << (max(1, n) - 1).bit_length() >> 1)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -310,13 +310,24 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _shared(keys: DataFrame, percent: int, by: str = "cls") -> DataFrame:
+    """The rows (token, cls, n, ..) of keys held by several values of `by`, of classes with
+    enough of such keys."""
+    buckets = (keys.groupBy("token").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+               .filter("lo < hi").select("token"))
+    shared = keys.join(buckets, "token", "left_semi").distinct()
+    least = F.ceil(F.col("n") * percent / F.lit(100))  # the smallest partner
+    enough = (shared.groupBy("cls").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+              .filter(F.col("k") >= _least_shared(least, percent)).select("cls"))
+    return shared.join(enough, "cls", "left_semi")
+
+
 def _tree_tasks(live: DataFrame, comps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that hold several components, by block pair."""
     members = (live.join(comps.toDF("cls", "comp"), "cls", "left")
                .select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
-    mixed = (members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo < hi").select("token"))
-    members = members.join(mixed, "token")
+    members = materialise(_shared(members, percent, "comp"), "members")
+    members = _shared(members, percent, "comp")
     place = Window.partitionBy("token").orderBy("n", "comp", "cls")
     members = materialise(members.withColumn(
         "block", F.floor((F.row_number().over(place) - 1) / BLOCK)), "members")
@@ -340,28 +351,27 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
         "doc_id long, n long, cls long, prefix array<long>"), "sets")
 
     tokens = sets.select("cls", "n", F.explode("prefix").alias("token"))
-    buckets = (tokens.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("leader"), F.max("cls").alias("last"))
-               .filter("leader.cls < last").select("token", F.col("leader.cls").alias("leader"),
-                                                   F.col("leader.n").alias("leader_n")))
-    live = materialise(tokens.join(buckets, "token").distinct(), "live")
-
-    star = (live.filter((F.col("cls") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n"), percent))
-            .groupBy("cls", "leader").agg(F.count("*").alias("shared"))
+    live = materialise(_shared(tokens, percent), "live")
+    live = materialise(_shared(live, percent), "live")  # fewer classes, so fewer shared keys
+
+    leaders = live.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select(
+        "token", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"))
+    star = (live.join(leaders, "token")
+            .filter((F.col("cls") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n"), percent))
+            .groupBy("cls", "leader").agg(F.count("*").alias("shared"),
+                                          F.min(F.least("n", "leader_n")).alias("least"))
+            .filter(F.col("shared") >= _least_shared(F.col("least"), percent))
             .groupBy("cls").agg(F.max(F.struct("shared", "leader")).alias("best"))
             .select(F.col("cls").alias("a"), F.col("best.leader").alias("b")))
-    needed = (sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-              .join(live.select("cls").distinct(), "cls"))
-    needed = materialise(needed, "needed")
-    texts = docs.select("doc_id", "text")
+    needed = materialise(
+        sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        .join(live.select("cls").distinct(), "cls").select("doc_id").distinct(), "needed")
     if needed.count() <= LIMIT_BROADCAST:
-        rows = needed.orderBy("cls").toPandas()
-        wanted = spark.sparkContext.broadcast((
-            rows["cls"].to_numpy(np.int64),
-            rows["doc_id"].astype("Int64").fillna(_NONE).to_numpy(np.int64)))
-        full = texts.mapInArrow(lambda it: _full_sets(it, size, wanted.value), "cls long, shingles array<long>")
-    else:
-        full = (texts.mapInArrow(lambda it: _full_sets(it, size, None), "cls long, shingles array<long>")
-                .join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+        needed = F.broadcast(needed)
+    texts = docs.join(needed.withColumnRenamed("doc_id", "_id"),
+                      F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    full = texts.mapInArrow(lambda it: _full_sets(it, size), "cls long, shingles array<long>")
+    full = full.join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     full = materialise(full, "full")
 
     links = materialise(_verified(star, full, percent), "links")
