@@ -208,6 +208,7 @@ class _Node:
 
 
 def _tree(m: _Members, lo: int, hi: int) -> _Node:
+    """The tree over members lo .. hi - 1, which are sorted by size."""
     level = [_Node(m, a, min(a + LEAF, hi), []) for a in range(lo, hi, LEAF)]
     while len(level) > 1:
         level = [_Node(m, level[a].lo, level[min(a + FANOUT, len(level)) - 1].hi, level[a:a + FANOUT])
@@ -327,7 +328,12 @@ def _tree_tasks(live: DataFrame, comps: DataFrame, bits: DataFrame, percent: int
     members = (live.join(comps.toDF("cls", "comp"), "cls", "left")
                .select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
     members = materialise(_shared(members, percent, "comp"), "members")
-    members = _shared(members, percent, "comp")
+    # Buckets with the same members give the same pairs: one of them is enough.
+    signed = members.groupBy("token").agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+        F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    single = signed.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    members = members.join(single, "token", "left_semi")
     place = Window.partitionBy("token").orderBy("n", "comp", "cls")
     members = materialise(members.withColumn(
         "block", F.floor((F.row_number().over(place) - 1) / BLOCK)), "members")
