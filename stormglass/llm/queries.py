@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii, quality
+from . import chunks, decontaminate, jaccard, mixing, packing, pii, quality, token_files, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read(token_files.write(_table(spark, sf_dir, "documents"), path))
+
+
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.regions(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,11 +49,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.apply(docs, counts=True)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op5_decontaminate, op6_quality_rules, op7_best_fit_packing, op8_pii, op10_jaccard_join)
+QUERIES = (op1_token_files, op2_context_mixing, op3_url_reputation, op4_substring_dedup, op5_decontaminate,
+           op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,7 +36,10 @@ from .files import file_system, new_folder, new_name
 
 LENGTH, ROWS, END_ID = 2_048, 256, 0
 CACHE_PIECES = 500_000
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+# Unicode white space beyond ASCII blanks and line ends.
+_OTHER_SPACE = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                0x205F, 0x3000)
+_WHOLE = re.compile("[" + "".join(map(chr, _OTHER_SPACE)) + "]|<[|]")
 
 
 class Encoder:
