@@ -77,9 +77,13 @@ def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     for batch in batches:
         sets = _batch_sets(batch.column(0), size)
         if sets:
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            h = np.concatenate(sets)
+            del sets
+            h.sort()
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(h)))
             often = n >= BATCH_FREQUENT
-            yield pa.RecordBatch.from_pydict({"h": T.signed(h[often]), "n": n[often].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"h": T.signed(h[first[often]]), "n": n[often]})
 
 
 def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -167,9 +171,10 @@ def bitmap(s: np.ndarray) -> bytes:
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.array(s, dtype=np.int64).view(np.uint64) for s in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"cls": batch.column(0),
-                                          "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
+        lists = batch.column(1)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        bits = [bitmap(flat[at[i]:at[i + 1]]) for i in range(len(lists))]
+        yield pa.RecordBatch.from_pydict({"cls": batch.column(0), "bits": pa.array(bits, pa.binary())})
 
 
 class _Members:

@@ -1,6 +1,6 @@
 """Vectorised text helpers used inside tasks: bytes, words, lines and their 64-bit hashes.
 
-Texts are handled as the bytes of an Arrow column, in slices of a few megabytes, so that
+Texts are handled as the bytes of an Arrow column, in slices of about a megabyte, so that
 memory does not depend on the size of a batch. Every hash is a polynomial over the bytes
 (or over word hashes) modulo 2**64, read off prefix sums, followed by a bit mixer.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
