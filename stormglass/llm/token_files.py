@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files with equal-length sequences and masks.
 
 A file is one Arrow IPC stream. Each batch holds `rows` sequences (the last one fewer) in two
-fixed-size-list columns of `length`: `ids` (uint32) and `mask` (uint8: 0 padding, 1 token, 2 last
-token of a document). All batches but the last have equal byte sizes, so sequence i lies in batch
+fixed-size-list columns of `length`: `ids` (uint16, or uint32 for vocabularies over 65,536) and
+`mask` (one bit: token or padding). All batches but the last have equal byte sizes, so sequence i lies in batch
 i // rows, at an offset that follows from the sizes of schema and batch: a reader maps the file
 and takes any sequence without parsing or copying (`open_sequences`). A second stream file next to it
 lists the documents of the file: doc_id, their first token in the file and their number of tokens.
@@ -35,7 +35,7 @@ from . import text as T
 from .files import file_system, new_folder, new_name
 
 LENGTH, ROWS, END_ID = 2_048, 256, 0
-CACHE_PIECES = 500_000
+CACHE_PIECES, SLICE_BYTES = 1_000_000, 4 << 20
 # Unicode white space beyond ASCII blanks and line ends.
 _OTHER_SPACE = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
                 0x205F, 0x3000)
@@ -43,26 +43,43 @@ _WHOLE = re.compile("[" + "".join(map(chr, _OTHER_SPACE)) + "]|<[|]")
 
 
 class Encoder:
-    """Encodes slices of texts with a tokenizer of the tokenizers library."""
+    """Encodes slices of texts with a byte-level tokenizer of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = id_type(size)
+        # A token of a byte-level vocabulary is written with one character for each of its bytes.
+        self.byte_size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self.cache: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32)
+        return [np.array(e.ids, dtype=self.kind)
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes."""
         cache = self.cache
         new = [p for p in pieces if p not in cache]
         if len(cache) + len(new) > CACHE_PIECES:
             cache.clear()
             new = pieces
-        for p, ids in zip(new, self._encode([p.decode() for p in new])):
-            cache[p] = ids
+        # Pieces that begin with white space can stand side by side without changing each other.
+        side, alone = [], []
+        for p in new:
+            (side if T.SPACE[p[0]] and not T.SPACE[p[-1]] else alone).append(p)
+        for p, ids in zip(alone, self._encode([p.decode() for p in alone])):
+            cache[p] = ids.tobytes()
+        for a in range(0, len(side), 50_000):
+            part = side[a:a + 50_000]
+            ids = self._encode([b"".join(part).decode()])[0]
+            ends = np.cumsum(self.byte_size[ids])
+            at = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(p) for p in part])) + 1])
+            raw, at = ids.tobytes(), (at * ids.itemsize).tolist()
+            for p, lo, hi in zip(part, at, at[1:]):
+                cache[p] = raw[lo:hi]
         return [cache[p] for p in pieces]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +96,9 @@ class Encoder:
         _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         raw = data.tobytes()
         found = self._pieces([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        pool = np.frombuffer(b"".join(found), dtype=self.kind)
+        sizes = np.array([len(f) for f in found], dtype=np.int64) // pool.itemsize
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        pool = np.concatenate([*found, np.zeros(0, np.uint32)])
         lengths = sizes[inverse]
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = pool[np.repeat(begin[inverse] - before[:-1], lengths) + np.arange(before[-1])]
@@ -89,7 +106,7 @@ class Encoder:
 
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds) of slices of a column."""
-        for lo, hi, data, offsets in T.text_slices(column):
+        for lo, hi, data, offsets in T.text_slices(column, SLICE_BYTES):
             ids, bounds = self.encode(data, offsets)
             raw = data.tobytes()
             odd = {}
@@ -106,8 +123,22 @@ class Encoder:
             yield lo, hi, ids, bounds
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def id_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _schema(length: int, kind: type) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -116,50 +147,49 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens",
 class _Writer:
     """Fills batches of sequences from documents that come in order."""
 
-    def __init__(self, folder: str, length: int, rows: int):
-        self.path, self.length, self.size = new_name(folder, ".arrow"), length, length * rows
+    def __init__(self, folder: str, length: int, rows: int, kind: type):
+        self.path, self.length, self.size, self.kind = new_name(folder, ".arrow"), length, length * rows, kind
         system, inner = file_system(self.path)
         self.streams = [system.open_output_stream(inner), system.open_output_stream(f"{inner}.docs")]
-        self.tokens = pa.ipc.new_stream(self.streams[0], _schema(length))
+        self.tokens = pa.ipc.new_stream(self.streams[0], _schema(length, kind))
         self.docs = pa.ipc.new_stream(self.streams[1], _INDEX)
-        self.ids, self.mask = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.ids = np.zeros(0, kind)
         self.total = self.n_docs = 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> None:
         """Documents with their ids; the end id is already in."""
-        mask = np.ones(len(ids), dtype=np.uint8)
-        mask[bounds[1:] - 1] = 2
         self.docs.write_batch(pa.RecordBatch.from_arrays(
             [doc_ids, pa.array(self.total + bounds[:-1]), pa.array(np.diff(bounds))], schema=_INDEX))
         self.total, self.n_docs = self.total + len(ids), self.n_docs + len(doc_ids)
-        self.ids, self.mask = np.concatenate([self.ids, ids]), np.concatenate([self.mask, mask])
+        self.ids = np.concatenate([self.ids, ids])
         whole = len(self.ids) // self.size * self.size
         for at in range(0, whole, self.size):
-            self._batch(self.ids[at:at + self.size], self.mask[at:at + self.size])
-        self.ids, self.mask = self.ids[whole:], self.mask[whole:]
+            self._batch(self.ids[at:at + self.size])
+        self.ids = self.ids[whole:]
 
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
+    def _batch(self, ids: np.ndarray) -> None:
+        mask = np.arange(-(-len(ids) // self.length) * self.length) < len(ids)
+        ids = np.pad(ids, (0, len(mask) - len(ids)))
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
-        self.tokens.write_batch(pa.RecordBatch.from_arrays(arrays, schema=_schema(self.length)))
+        self.tokens.write_batch(pa.RecordBatch.from_arrays(arrays, schema=_schema(self.length, self.kind)))
 
     def close(self) -> None:
         if len(self.ids):
-            pad = -len(self.ids) % self.length
-            self._batch(np.pad(self.ids, (0, pad)), np.pad(self.mask, (0, pad)))
+            self._batch(self.ids)
         for x in (self.tokens, self.docs, *self.streams):
             x.close()
 
 
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, length: int, rows: int,
            end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, out, first = Encoder(tokenizer), None, None
+    coder, out, first = encoder(tokenizer), None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         if out is None:
-            out, first = _Writer(folder, length, rows), batch.column(0)[0].as_py()
-        for lo, hi, ids, bounds in encoder.encode_column(batch.column(1)):
-            ids = np.insert(ids, bounds[1:], np.uint32(end_id))
+            out, first = _Writer(folder, length, rows, coder.kind), batch.column(0)[0].as_py()
+        for lo, hi, ids, bounds in coder.encode_column(batch.column(1)):
+            ids = np.insert(ids, bounds[1:], coder.kind(end_id))
             out.add(batch.column(0).slice(lo, hi - lo), ids, bounds + np.arange(len(bounds)))
     done = []
     if out is not None:
@@ -202,26 +232,26 @@ class Sequences:
         at = self.head + b * self.step
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.buffer.slice(at)), self.schema)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """(ids, mask) of sequence i, as views of the file."""
         b, r = divmod(i, self.rows)
         batch = self.batch(b)
-        return tuple(batch.column(c).flatten().to_numpy()[r * self.length:(r + 1) * self.length]
-                     for c in range(2))
+        ids, mask = (batch.column(c).flatten().slice(r * self.length, self.length) for c in range(2))
+        return ids.to_numpy(), mask
 
-    def tokens(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of n tokens from position `first`; copies only across batches."""
+    def tokens(self, first: int, n: int) -> np.ndarray:
+        """n ids from position `first`; copies only across batches."""
         size = self.rows * self.length
         parts = []
         while n:
             b, at = divmod(first, size)
-            batch, k = self.batch(b), min(n, size - at)
-            parts.append([batch.column(c).flatten().to_numpy()[at:at + k] for c in range(2)])
+            k = min(n, size - at)
+            ids, mask = (self.batch(b).column(c).flatten().slice(at, k) for c in range(2))
+            if mask.true_count != k:
+                raise ValueError("padding inside a document")
+            parts.append(ids.to_numpy())
             first, n = first + k, n - k
-        if len(parts) == 1:
-            return tuple(parts[0])
-        return tuple(np.concatenate([np.zeros(0, t), *(p[c] for p in parts)]).astype(t)
-                     for c, t in enumerate((np.uint32, np.uint8)))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def open_sequences(path: str) -> Sequences:
@@ -240,13 +270,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, inner = file_system(f"{path}.docs")
             with system.open_input_file(inner) as f:
                 for docs in pa.ipc.open_stream(f):
-                    sums, whole = [], []
-                    for first, n in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist()):
-                        ids, mask = sequences.tokens(first, n)
-                        sums.append(zlib.crc32(np.ascontiguousarray(ids, dtype="<u4")))
-                        whole.append(bool(mask[-1] == 2 and (mask[:-1] == 1).all()))
-                    if not all(whole):
-                        raise ValueError(f"{path}: mask and document index disagree")
+                    sums = [zlib.crc32(np.ascontiguousarray(sequences.tokens(first, n), dtype="<u4"))
+                            for first, n in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist())]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": docs.column(0), "start": pa.array(docs.column(1).to_numpy() + start),
                         "n_tokens": docs.column(2), "ids_crc32": pa.array(sums, pa.int64())})
