@@ -24,6 +24,7 @@ def _counts(actual: Column, warned: Column) -> list[Column]:
 def confusion(df: DataFrame, by: Sequence[str] = (),
               threshold: float = fixed.ALERT_THRESHOLD, actual: str = "actual",
               probability: str = "probability") -> DataFrame:
+    """The four counts; rows without a score or an outcome are in none of them."""
     warned = F.col(probability) >= threshold
     return df.groupBy(*by).agg(*_counts(F.col(actual), warned))
 
@@ -57,8 +58,8 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (),
 def threshold_sweep(scored: DataFrame, thresholds: Sequence[float] = fixed.THRESHOLDS,
                     by: Sequence[str] = ()) -> DataFrame:
     """Counts and rates at each threshold, from one pass that does not multiply the rows."""
-    p, yes = F.col("probability"), F.col("actual") == 1
-    no = F.col("actual") == 0
+    p, known = F.col("probability"), F.col("probability").isNotNull()
+    yes, no = known & (F.col("actual") == 1), known & (F.col("actual") == 0)
     hits = [F.count_if(yes & (p >= t)).alias(f"tp{i}") for i, t in enumerate(thresholds)]
     false = [F.count_if(no & (p >= t)).alias(f"fp{i}") for i, t in enumerate(thresholds)]
     one = scored.groupBy(*by).agg(F.count_if(yes).alias("_yes"), F.count_if(no).alias("_no"),

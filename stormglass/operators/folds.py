@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_SLICE = 500_000
+
 
 def date_positions(df: DataFrame, order: str = "date") -> DataFrame:
     """One row per date: its number `date_pos` from 1, its rows, and the rows before it.
 
+    Rows without a date have no position and are not counted.
+
     The window runs over distinct dates, which the calendar bounds, never over data rows.
     """
     w = Window.orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    counted = df.groupBy(order).agg(F.count("*").alias("date_rows"))
+    counted = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("date_rows"))
     return counted.select(
         order, "date_rows", F.row_number().over(w).cast("bigint").alias("date_pos"),
         F.coalesce(F.sum("date_rows").over(before), F.lit(0)).alias("rows_before"))
 
 
 def ordinal(df: DataFrame, order: str = "date", tie: Sequence[str] = (), unit: str = "row",
-            digits: int = 2) -> DataFrame:
+            digits: int | None = None) -> DataFrame:
     """Add `pos`, the chronological position from 1.
 
     unit='date': all rows of a date share the number of that date.
     unit='row': every row has its own; rows of one date are ordered by the md5 of their
     tie columns. The leading hex digits of it cut a date into even slices that are
-    numbered in separate tasks, so a date with most of the rows is no bottleneck.
+    numbered in separate tasks, so a date with most of the rows is no bottleneck. Their
+    number follows from the largest date unless `digits` is given.
+    Rows without a date have no position and are left out.
     """
     if unit == "date":
         dates = date_positions(df, order)
@@ -39,6 +46,10 @@ def ordinal(df: DataFrame, order: str = "date", tie: Sequence[str] = (), unit: s
     if not tie:
         raise ValueError("unit='row' needs tie columns that identify a row of a date")
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tie]
+    df = df.where(F.col(order).isNotNull())
+    if digits is None:
+        most = df.groupBy(order).count().agg(F.max("count")).first()[0] or 1
+        digits = max(1, math.ceil(math.log(most / ROWS_PER_SLICE, 16))) if most > ROWS_PER_SLICE else 1
     rows = (df.withColumn("_mix", F.md5(F.concat_ws("|", *text)))
             .withColumn("_slice", F.substring("_mix", 1, digits)))
     slices = rows.groupBy(order, "_slice").agg(F.count("*").alias("_n"))
@@ -55,7 +66,7 @@ def ordinal(df: DataFrame, order: str = "date", tie: Sequence[str] = (), unit: s
 
 def count_positions(df: DataFrame, order: str = "date", unit: str = "row") -> int:
     """Number of rows, or of distinct dates."""
-    return df.agg(F.count_distinct(order) if unit == "date" else F.count("*")).first()[0]
+    return df.agg(F.count_distinct(order) if unit == "date" else F.count(order)).first()[0]
 
 
 def chronological_split(df: DataFrame, order: str = "date", frac: float = 0.8,

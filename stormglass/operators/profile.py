@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -54,7 +53,8 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def constant_columns(profile: DataFrame) -> DataFrame:
-    return profile.where(F.col("unique_values") <= 1).select("feature")
+    """Columns with one value or none, read off the smallest and the largest."""
+    return profile.where(F.col("minimum").eqNullSafe(F.col("maximum"))).select("feature")
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -67,48 +67,37 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def correlations(df: DataFrame, cols: Sequence[str], chunk: int = 120) -> DataFrame:
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r of every column pair over the rows that have both values.
 
-    Few pairs are one built-in aggregate. Many pairs come from a single scan instead of
-    one scan per chunk of pairs: each task reduces its rows to column-by-column sums, and
-    only those sums, whose size depends on the number of columns alone, are shuffled.
+    Each task reduces its rows to column-by-column sums, and only those sums, whose size
+    depends on the number of columns alone, are shuffled. NaN counts as missing; r is NULL
+    for a constant column and for pairs without common rows.
     """
-    pairs = list(combinations(cols, 2))
-    if len(pairs) <= chunk:
-        one = df.agg(*[pearson(F.col(a), F.col(b)).alias(str(i))
-                       for i, (a, b) in enumerate(pairs)])
-        each = F.explode(F.array(*[
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                     F.col(str(i)).alias("correlation")) for i, (a, b) in enumerate(pairs)]))
-        return one.select(each.alias("p")).select("p.*")
-    return _correlations_by_sums(df, list(cols))
-
-
-def _correlations_by_sums(df: DataFrame, cols: list[str]) -> DataFrame:
+    cols = list(cols)
     # Shifting by the overall mean keeps the sums of squares from cancelling.
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    wide = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
     means = wide.agg(*[F.avg(c).alias(c) for c in cols]).first()
     shift = np.array([means[c] if means[c] is not None else 0.0 for c in cols])
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    i, j = np.triu_indices(len(cols), 1)
 
     def sums(batches):
-        total = None
+        total = np.zeros((len(names), len(cols), len(cols)))
         for batch in batches:
             x = batch.to_numpy(dtype=float) - shift
             has = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
             sq = x * x
-            part = np.stack([has.T @ has, x.T @ has, has.T @ x,
-                             sq.T @ has, has.T @ sq, x.T @ x])
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.triu_indices(len(cols), 1)
-            yield pd.DataFrame({"i": i, "j": j,
-                                **{k: total[p][i, j] for p, k in enumerate(names)}})
-
-    partial = wide.mapInPandas(sums, "i int, j int, " + ", ".join(f"{k} double" for k in names))
-    merged = partial.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+            total += np.stack([has.T @ has, x.T @ has, has.T @ x,
+                               sq.T @ has, has.T @ sq, x.T @ x])
+        yield pd.DataFrame({"i": i, "j": j, **{k: total[p][i, j] for p, k in enumerate(names)}})
+
+    schema = "i int, j int, " + ", ".join(f"{k} double" for k in names)
+    none = df.sparkSession.createDataFrame(
+        [(int(a), int(b), *[0.0] * len(names)) for a, b in zip(i, j)], schema)
+    merged = (wide.mapInPandas(sums, schema).union(none)
+              .groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names]))
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     spread = (F.col("sxx") - F.try_divide(sx * sx, n)) * (F.col("syy") - F.try_divide(sy * sy, n))
     r = F.try_divide(F.col("sxy") - F.try_divide(sx * sy, n), F.sqrt(F.nullif(spread, F.lit(0.0))))
@@ -118,10 +107,9 @@ def _correlations_by_sums(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def high_correlations(df: DataFrame, cols: Sequence[str],
-                      threshold: float = fixed.CORRELATION_THRESHOLD,
-                      chunk: int = 120) -> DataFrame:
+                      threshold: float = fixed.CORRELATION_THRESHOLD) -> DataFrame:
     """Pairs whose |r| reaches the threshold."""
-    return (correlations(df, cols, chunk)
+    return (correlations(df, cols)
             .withColumn("absolute_correlation", F.abs("correlation"))
             .where(F.col("absolute_correlation") >= threshold))
 

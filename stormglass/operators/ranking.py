@@ -9,28 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
-SMALL_ROWS = 1_000_000
-SAMPLE_ROWS = 4_000_000
-
-
-def _sampled(df: DataFrame, n: int) -> DataFrame:
-    """Enough rows to guess cut points from. No result is ever computed from the sample."""
-    return df if n <= SAMPLE_ROWS else df.sample(fraction=SAMPLE_ROWS / n, seed=7)
 
 
 def score_bounds(df: DataFrame, score: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Cut points that split the rows about evenly by score; none if they fit one range.
+    """Cut points that split the rows about evenly by score, one range for each `rows_per_bucket`.
 
     Only these few numbers reach the driver. They are literals afterwards, so that a task
     that is run again puts every row into the same range.
     """
-    n = df.count()
-    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
-    if buckets <= 1:
-        return []
-    marks = [i / buckets for i in range(1, buckets)]
-    at = _sampled(df, n).agg(F.percentile_approx(score, marks, 4 * buckets)).first()[0]
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    marks = [i / buckets for i in range(1, buckets)] or [1.0]
+    at = df.agg(F.percentile_approx(score, marks, 4 * buckets)).first()[0]
     return sorted({float(x) for x in at or []})
 
 
@@ -47,7 +36,7 @@ def prefix_sum(df: DataFrame, by: Sequence[str], score: str, cols: Sequence[str]
 
     Rows with one score are merged first, so a frequent score is one row. Groups are cut
     into score ranges that are sorted in separate tasks; the totals of the earlier
-    ranges, at most MAX_BUCKETS rows per group, are added afterwards.
+    ranges, one row for each range of a group, are added afterwards.
     """
     if bounds is None:
         bounds = score_bounds(df, score)
@@ -60,8 +49,6 @@ def prefix_sum(df: DataFrame, by: Sequence[str], score: str, cols: Sequence[str]
     within = (Window.partitionBy(*by, "_bucket").orderBy(direction)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cumulated = scored.withColumns({f"cum_{c}": F.sum(c).over(within) for c in cols})
-    if not bounds:
-        return cumulated.drop("_bucket")
     earlier = (Window.partitionBy(*by).orderBy("_bucket")
                .rowsBetween(Window.unboundedPreceding, -1)) if by else \
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,24 +64,32 @@ def prefix_sum(df: DataFrame, by: Sequence[str], score: str, cols: Sequence[str]
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), actual: str = "actual",
                     probability: str = "probability",
-                    bounds: Sequence[float] | None = None) -> DataFrame:
+                    bounds: Sequence[float] | None = None,
+                    times: str | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count half) and average precision (step sum) per group.
 
+    Rows without a score are left out. `times`: a column that says how many rows a row stands for.
+
     ROC-AUC is NULL when a group has one class; average precision is 0 without positives.
     """
     hit = F.col(actual).cast("bigint")
-    rows = df.select(*by, F.col(probability).alias("_score"), hit.alias("pos"),
-                     (1 - hit).alias("neg"))
+    n = F.lit(1).cast("bigint") if times is None else F.col(times).cast("bigint")
+    rows = df.select(*by, F.col(probability).alias("_score"), (n * hit).alias("pos"),
+                     (n * (1 - hit)).alias("neg"))
     steps = prefix_sum(rows, by, "_score", ["pos", "neg"], bounds=bounds)
     pos, tp, fp = F.col("pos"), F.col("cum_pos"), F.col("cum_neg")
+
+    def wide(c):  # products of counts leave the range of bigint at a few billion rows
+        return c.cast("decimal(19,0)")
     # Twice the number of (positive, negative) pairs in the right order: a whole number.
-    pairs = F.sum(F.col("neg") * (2 * tp - pos)).alias("_pairs")
-    precision = F.sum(F.try_divide(pos * tp, tp + fp)).alias("_precision")
+    pairs = F.sum(wide(F.col("neg")) * wide(2 * tp - pos)).cast("double").alias("_pairs")
+    precision = F.sum(F.try_divide(pos.cast("double") * tp.cast("double"), tp + fp)).alias("_precision")
     return (steps.groupBy(*by)
             .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
                  pairs, precision)
             .select(*by, "positives", "negatives",
-                    F.try_divide(F.col("_pairs"), 2 * F.col("positives") * F.col("negatives"))
+                    F.try_divide(F.col("_pairs"), 2 * F.col("positives").cast("double")
+                                 * F.col("negatives").cast("double"))
                     .alias("roc_auc"),
                     F.coalesce(F.try_divide(F.col("_precision"), F.col("positives")), F.lit(0.0))
                     .alias("pr_auc")))
@@ -108,25 +103,22 @@ def average_precision(df: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
     return ranking_metrics(df, by, **kw).select(*by, "pr_auc")
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str],
-                  small_rows: int = SMALL_ROWS) -> dict[str, float | None]:
+def _brackets(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    guess = df.agg(*[F.percentile_approx(c, [0.4975, 0.5025], 2_000).alias(c) for c in cols]).first()
+    return {c: tuple(guess[c]) if guess[c] else (0.0, 0.0) for c in cols}
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Exact interpolated median of every column, ignoring nulls.
 
-    Up to `small_rows` rows the built-in median holds all values of a column, which is
-    bounded by that number. Beyond it a sample gives a guess of a narrow bracket around
-    the middle, one scan counts the values below and up to each bracket, and only the
-    values inside are shuffled and ranked. A bracket that turns out not to hold the
-    middle is widened to the whole column, so the guess never affects the result.
+    Approximate percentiles give a guess of a narrow bracket around the middle, one scan
+    counts the values below and up to each bracket, and only the values inside are
+    shuffled and ranked. A bracket that turns out not to hold the middle is widened to the
+    whole column, so the guess never affects the result.
     """
     cols = list(cols)
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    n = doubles.count()
-    if n <= small_rows:
-        return doubles.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
-
-    guess = _sampled(doubles, n).agg(
-        *[F.percentile_approx(c, [0.4975, 0.5025], 2_000).alias(c) for c in cols]).first()
-    bracket = {c: tuple(guess[c]) if guess[c] else (0.0, 0.0) for c in cols}
+    bracket = _brackets(doubles, cols)
     facts = doubles.agg(*[
         F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
                  F.count_if(F.col(c) < bracket[c][0]).alias("under"),

@@ -26,7 +26,6 @@ from .reshape import union_all
 from .timeseries import persistence_forecast
 
 BASELINE = "Majority-Class Baseline"
-SMALL_ROWS = 1_000_000
 
 REGULARISATION_GRID = tuple(
     (f"{label} C={c:.2f}", penalty, c, ratio)
@@ -79,14 +78,16 @@ def train_rows(rows: DataFrame, f: Fold) -> DataFrame:
 
 def prepare_folds(df: DataFrame, keys: Sequence[str], order: str = "date", k: int = 5,
                   unit: str = "date", gap: int = 0, target: str = fixed.TARGET,
-                  cols: Sequence[str] | None = None) -> FoldedData:
-    """Write the labelled inputs once, number them, and drop folds that hold one class."""
+                  cols: Sequence[str] | None = None, threads: int = 8) -> FoldedData:
+    """Write the labelled inputs once, number them, and drop folds that hold one class.
+
+    threads: fits that are submitted side by side; each is a distributed job.
+    """
     labelled, found = models.model_inputs(df, keys, target)
     cols = list(cols or found)
     need = list(dict.fromkeys([*keys, order, target, *cols, "ECON_STRESS"]))
     placed, folds = walk_forward_folds(labelled.select(*need), order, k, unit, list(keys), gap)
     rows = materialise(assign_test_folds(placed, folds, keep_rest=True), "folds", ["fold"])
-    threads = 8 if rows.count() <= SMALL_ROWS else 1
     if target == fixed.TARGET:
         counts = rows.agg(*[
             F.count_distinct(F.when(F.col("pos") <= f.train_end, F.col(target)))
@@ -204,7 +205,7 @@ def compare_regularisation(df: DataFrame, keys: Sequence[str], grid=REGULARISATI
                            alarm_start: str = "position") -> tuple[DataFrame, DataFrame]:
     """Nine penalties over identical folds, with retained features and false alarms a year."""
     data = prepare_folds(df, keys, order, k, unit)
-    fits = {name: partial(models.fit_logistic, penalty=p, C=c, l1_ratio=r)
+    fits = {name: partial(models.fit_logistic, penalty=p, C=c, l1_ratio=r, max_iter=10_000)
             for name, p, c, r in grid}
     scored, fitted = out_of_fold(data, fits)
     kept = literal_table(

@@ -136,7 +136,7 @@ def scaled_lines(spark, t):
 
 def medians_by_ranking(spark, t):
     """The route for large data: bracket, count, rank what is inside."""
-    found = exact_medians(t["lineitem"], LINE, small_rows=0)
+    found = exact_medians(t["lineitem"], LINE)
     return literal_table(spark, list(found.items()), "feature string, median double")
 
 
@@ -240,7 +240,7 @@ def queries() -> list[Query]:
         Query("a8_correlations", lambda s, t: profile.high_correlations(t["lineitem"], LINE, 0.0),
               correlation, _corr_sql(line_nums, LINE, 0)),
         Query("a8_correlations_by_sums",
-              lambda s, t: profile.high_correlations(t["lineitem"], LINE, 0.0, chunk=0),
+              lambda s, t: profile.high_correlations(t["lineitem"], LINE, 0.0),
               correlation, _corr_sql(line_nums, LINE, 0)),
         Query("a8_c7_high_feature_correlations", feature_correlations, correlation,
               _corr_sql("training", model_cols, fixed.CORRELATION_THRESHOLD), training),

@@ -57,7 +57,7 @@ def nonzero(spark, t):
     def count(config):
         name, p, c, r = config
         return name, models.nonzero_coefficients(models.fit_logistic(
-            rows, cols, penalty=p, C=c, l1_ratio=r, scaler=scaler))
+            rows, cols, penalty=p, C=c, l1_ratio=r, scaler=scaler, max_iter=10_000))
     found = validation.side_by_side(spark, count, validation.REGULARISATION_GRID)
     return literal_table(spark, found, "model string, retained_features int")
 

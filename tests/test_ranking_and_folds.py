@@ -53,7 +53,7 @@ def test_step_sum_is_not_the_interpolated_area(spark):
 
 def test_bounds_split_large_inputs_only(spark):
     df = spark.range(10_000).select((F.col("id") / 10_000).alias("s"))
-    assert ranking.score_bounds(df, "s") == []
+    assert len(ranking.score_bounds(df, "s")) == 1
     found = ranking.score_bounds(df, "s", rows_per_bucket=1_000)
     assert len(found) == 9 and found == sorted(found)
 
@@ -72,8 +72,8 @@ def test_medians_by_ranking_are_exact(spark, n):
     data = [(r.gauss(0, 1), float(r.randint(0, 3)), None if i % 2 else r.random(), None, 7.0)
             for i in range(n)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
-    got = ranking.exact_medians(df, list("abcde"), small_rows=0)
-    assert got == ranking.exact_medians(df, list("abcde"))
+    got = ranking.exact_medians(df, list("abcde"))
+    assert got == df.agg(*[F.median(c).alias(c) for c in "abcde"]).first().asDict()
     for i, c in enumerate("abcde"):
         known = [x[i] for x in data if x[i] is not None]
         assert got[c] == (pytest.approx(statistics.median(known)) if known else None)
@@ -81,8 +81,8 @@ def test_medians_by_ranking_are_exact(spark, n):
 
 def test_a_wrong_bracket_is_widened(spark, monkeypatch):
     df = spark.range(101).select(F.col("id").cast("double").alias("a"))
-    monkeypatch.setattr(ranking, "_sampled", lambda d, n: d.where("a > 90"))
-    assert ranking.exact_medians(df, ["a"], small_rows=0) == {"a": 50.0}
+    monkeypatch.setattr(ranking, "_brackets", lambda d, cols: {"a": (95.0, 96.0)})
+    assert ranking.exact_medians(df, ["a"]) == {"a": 50.0}
 
 
 def test_counts_and_rates(spark):
@@ -162,3 +162,24 @@ def test_split_takes_the_floor(spark):
     assert got.where("is_train").count() == 8
     last = got.where("is_train").agg(F.max("date")).first()[0]
     assert last < got.where("not is_train").agg(F.min("date")).first()[0]
+
+
+def test_ranking_metrics_hold_billions_of_rows(spark):
+    df = spark.createDataFrame([(1, 0.9, 4_000_000_000), (0, 0.9, 1_000_000_000), (1, 0.2, 1_000_000_000),
+                                (0, 0.2, 4_000_000_000), (1, None, 7)], "actual int, probability double, n long")
+    r = ranking.ranking_metrics(df, times="n").first()
+    assert r.roc_auc == pytest.approx(0.8) and r.pr_auc == pytest.approx(0.8 * 0.8 + 0.2 * 0.5)
+
+
+def test_rows_without_score_or_date_count_nowhere(spark):
+    from stormglass.operators import evaluate
+
+    df = spark.createDataFrame([(1, None), (0, None), (0, .4), (1, .6)], "actual int, probability double")
+    swept = evaluate.threshold_sweep(df, [0.5]).first()
+    plain = evaluate.confusion(df, threshold=0.5).first()
+    assert [swept[c] for c in evaluate.COUNTS] == [plain[c] for c in evaluate.COUNTS] == [1, 0, 0, 1]
+    dated = spark.createDataFrame([(i, None if i < 4 else f"2020-01-{i + 1:02d}") for i in range(20)],
+                                  "k int, date string").withColumn("date", F.to_date("date"))
+    placed = folds.ordinal(dated, "date", ["k"])
+    assert sorted(r.pos for r in placed.collect()) == list(range(1, 17))
+    assert folds.count_positions(dated, "date") == 16

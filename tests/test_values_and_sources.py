@@ -173,18 +173,33 @@ def test_profile_matches_pandas(spark):
     assert [r.feature for r in constant] == ["d"]
 
 
-@pytest.mark.parametrize("chunk", [0, 100])
-def test_both_correlation_routes_match_pandas(spark, chunk):
+def test_correlations_match_pandas(spark):
     expected = numbers(spark).toPandas().corr()
     found = {(r.feature_1, r.feature_2): r.correlation
-             for r in profile.correlations(numbers(spark), list("abcd"), chunk).collect()}
+             for r in profile.correlations(numbers(spark), list("abcd")).collect()}
     assert len(found) == 6
     for (x, y), r in found.items():
         assert r is None if "d" in (x, y) else r == pytest.approx(expected.loc[x, y])
-    high = profile.high_correlations(numbers(spark), list("abcd"), 0.9, chunk).collect()
+    high = profile.high_correlations(numbers(spark), list("abcd"), 0.9).collect()
     assert [(r.feature_1, r.feature_2) for r in high] == [("a", "c")]
 
 
+def test_correlations_do_not_depend_on_the_number_of_columns(spark):
+    df = spark.createDataFrame(
+        [(1e9 + i * 1e-3, float(i % 7), float("nan") if i == 3 else i * 0.5) for i in range(50)],
+        "a double, b double, c double")
+    many = df.select("*", *[F.col("b").alias(f"x{i}") for i in range(47)])
+
+    def found(frame, cols):
+        return {(r.feature_1, r.feature_2): r.correlation for r in profile.correlations(frame, cols).collect()}
+    few, all_ = found(df, list("abc")), found(many, many.columns)
+    assert len(all_) == 50 * 49 // 2
+    assert {k: all_[k] for k in few} == few
+    expected = df.toPandas().corr()
+    assert few["b", "c"] == pytest.approx(expected.loc["b", "c"])
+    assert set(found(df.limit(0), list("abc")).values()) == {None}
+
+
 def test_audit(spark):
     audit = profile.feature_audit(numbers(spark).withColumn("RAW_ECON_STRESS", F.lit(1.0)))
     assert audit["feature_count"] == 4 and audit["high_correlations"].count() == 1
