@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import text as T
+from .columns import keeps_columns
 
 RATE, MIN_BYTES, MIN_REGION, WINDOW_BYTES = 16, 64, 120, 16
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -133,6 +134,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], text: str, names: list[str]) ->
             pa.array(texts, batch.schema.field(n).type) if n == text else batch.column(n) for n in names], names=names)
 
 
+@keeps_columns("_row", "_cuts")
 def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rate: int = RATE,
           min_bytes: int = MIN_BYTES, min_region: int = MIN_REGION) -> DataFrame:
     """The documents without the chunks that repeat an earlier place."""

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import text as T
+from .columns import keeps_columns
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -249,6 +250,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     ).withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
+@keeps_columns("_hits", "_n_words")
 def apply(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = find(docs, benchmark, text)

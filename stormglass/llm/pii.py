@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import keeps_columns
+
 ROUNDS = 8
 DEFAULT_KEY = "stormglass"
 
@@ -201,6 +203,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         hits, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"))))
 
 
+@keeps_columns("_found")
 def apply(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
           n_chars: str | None = "n_chars", counts: bool = False) -> DataFrame:
     """The documents with pseudonyms; `counts` adds `n_<kind>` columns."""

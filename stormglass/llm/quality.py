@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import text as T
+from .columns import keeps_columns
 
 MIN_DOCS, SHARE = 20, 0.001
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT, MIN_LEFT_PERCENT = 20, 8, 30, 50
@@ -204,6 +205,7 @@ def _strip(batches: Iterator[pa.RecordBatch], text: str, n_chars: str | None,
         yield pa.RecordBatch.from_pydict(cols)
 
 
+@keeps_columns("_row", "_gone")
 def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source",
           n_chars: str | None = "n_chars", min_docs: int = MIN_DOCS,
           share: float = SHARE) -> DataFrame:
