@@ -312,3 +312,23 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SMALL)
     ids = {r[0] for r in packed.select("doc_id").distinct().collect()}
     assert 0 < len(ids) < docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(entry_module.llm_queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    folder = SMALL.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got = entry_module.queries()[name](spark, folder)
+    columns = sorted(got.columns)
+    result = con.execute(entry_module.oracle_sql()[name])
+    at = [[c[0] for c in result.description].index(c) for c in columns]
+
+    def plain(rows):
+        return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+    want = plain([r[i] for i in at] for r in result.fetchall())
+    assert want and plain(got.select(*columns).collect()) == want
