@@ -227,16 +227,23 @@ class Sequences:
         message = pa.ipc.read_message(source)
         self.step = source.tell() - self.head
         self.rows = pa.ipc.read_record_batch(message, self.schema).num_rows
+        self._last: tuple[int, list[pa.Array]] = (-1, [])
 
     def batch(self, b: int) -> pa.RecordBatch:
         at = self.head + b * self.step
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.buffer.slice(at)), self.schema)
 
+    def _flat(self, b: int) -> list[pa.Array]:
+        """Ids and mask of a batch as flat views; the last one stays open, since documents come in order."""
+        if self._last[0] != b:
+            batch = self.batch(b)
+            self._last = b, [batch.column(c).flatten() for c in range(2)]
+        return self._last[1]
+
     def __getitem__(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """(ids, mask) of sequence i, as views of the file."""
         b, r = divmod(i, self.rows)
-        batch = self.batch(b)
-        ids, mask = (batch.column(c).flatten().slice(r * self.length, self.length) for c in range(2))
+        ids, mask = (v.slice(r * self.length, self.length) for v in self._flat(b))
         return ids.to_numpy(), mask
 
     def tokens(self, first: int, n: int) -> np.ndarray:
@@ -246,7 +253,7 @@ class Sequences:
         while n:
             b, at = divmod(first, size)
             k = min(n, size - at)
-            ids, mask = (self.batch(b).column(c).flatten().slice(at, k) for c in range(2))
+            ids, mask = (v.slice(at, k) for v in self._flat(b))
             if mask.true_count != k:
                 raise ValueError("padding inside a document")
             parts.append(ids.to_numpy())
