@@ -24,6 +24,7 @@ from .. import fixed
 from ..functions import (conform, lenient_double, numeric_columns, warning_active,
                          warning_level)
 from ..storage import literal_table
+from .profile import pearson
 from .ranking import exact_medians
 
 COEF_SCHEMA = "feature string, median double, mean double, scale double, beta double"
@@ -156,6 +157,17 @@ def fit_logistic(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET,
                          float(fit.intercept))
 
 
+def fit_scorecard(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET,
+                  scaler: Scaler | None = None) -> LogisticModel:
+    """Scorecard without a solver: each scaled feature weighs as much as its correlation with the label.
+
+    One scan after the scaler's. A constant feature, or a label of one class, has weight 0.
+    """
+    scaler = scaler or fit_scaler(df, cols)
+    one = df.agg(*[pearson(scaler.imputed(c), F.col(target)).alias(c) for c in scaler.features]).first()
+    return LogisticModel(scaler, {c: one[c] or 0.0 for c in scaler.features}, 0.0)
+
+
 def nonzero_coefficients(model: LogisticModel, eps: float = 1e-8) -> int:
     return sum(abs(b) > eps for b in model.beta.values())
 

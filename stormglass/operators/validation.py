@@ -157,11 +157,11 @@ def walk_forward(df: DataFrame, keys: Sequence[str], fits: Mapping[str, Callable
 
 
 def tune_threshold(df: DataFrame, keys: Sequence[str], order: str = "date", k: int = 5,
-                   unit: str = "date", thresholds: Sequence[float] = fixed.THRESHOLDS
-                   ) -> tuple[DataFrame, float, DataFrame]:
-    """(sweep, best threshold, pooled out-of-fold scores) of the logistic model."""
+                   unit: str = "date", thresholds: Sequence[float] = fixed.THRESHOLDS,
+                   fit: Callable = models.fit_logistic) -> tuple[DataFrame, float, DataFrame]:
+    """(sweep, best threshold, pooled out-of-fold scores) of the logistic model, or of another fit."""
     data = prepare_folds(df, keys, order, k, unit)
-    scored, _ = out_of_fold(data, {"Logistic Regression": models.fit_logistic})
+    scored, _ = out_of_fold(data, {"Logistic Regression": fit})
     sweep = evaluate.threshold_sweep(scored, thresholds)
     best = evaluate.best_threshold(sweep).first()["threshold"]
     return sweep.orderBy(F.desc("f1"), "threshold"), best, scored
@@ -170,8 +170,9 @@ def tune_threshold(df: DataFrame, keys: Sequence[str], order: str = "date", k: i
 def compare_feature_sets(df: DataFrame, keys: Sequence[str],
                          sets: Mapping[str, Sequence[str]] | None = None,
                          threshold: float = fixed.ALERT_THRESHOLD, order: str = "date",
-                         k: int = 5, unit: str = "date") -> tuple[DataFrame, DataFrame]:
-    """Logistic model on the full and the curated feature set over identical folds."""
+                         k: int = 5, unit: str = "date",
+                         fit: Callable = models.fit_logistic) -> tuple[DataFrame, DataFrame]:
+    """Logistic model (or another fit) on the full and the curated feature set over identical folds."""
     if sets is None:
         _, full = models.model_inputs(df, keys)
         sets = {f"Full {len(full)}-Feature Model": full,
@@ -181,7 +182,7 @@ def compare_feature_sets(df: DataFrame, keys: Sequence[str],
         raise ValueError(f"The following features are missing: {', '.join(sorted(missing))}")
     every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
     data = prepare_folds(df, keys, order, k, unit, cols=every)
-    scored, _ = out_of_fold(data, dict.fromkeys(sets, models.fit_logistic), sets)
+    scored, _ = out_of_fold(data, dict.fromkeys(sets, fit), sets)
     folds = fold_metrics(scored, data, threshold)
     summary = evaluate.summarise_folds(folds, ["model"])
     return folds, summary.orderBy(F.desc("average_pr_auc"), F.desc("average_f1"), "model")
@@ -295,11 +296,12 @@ def walk_forward_regression(df: DataFrame, keys: Sequence[str], order: str = "da
 
 
 def train_final(df: DataFrame, keys: Sequence[str], threshold: float, order: str = "date",
-                name: str = "Logistic Regression") -> tuple[models.LogisticModel, DataFrame]:
+                name: str = "Logistic Regression", fit: Callable = models.fit_logistic
+                ) -> tuple[models.LogisticModel, DataFrame]:
     """(model on all labelled rows, its one-row metadata)."""
     labelled, cols = models.model_inputs(df, keys)
     rows = materialise(labelled.select(*keys, order, fixed.TARGET, *cols), "training")
-    model = models.fit_logistic(rows, cols)
+    model = fit(rows, cols)
     metadata = rows.agg(
         F.count("*").alias("training_rows"),
         F.count_if(F.col(fixed.TARGET) == 1).alias("positive_training_cases"),

@@ -229,12 +229,22 @@ def queries() -> list[Query]:
                 {**ROW, **SERIES6},
                 f"""SELECT m.* FROM monthly m JOIN (SELECT entity, max(date) AS last FROM monthly
                     GROUP BY entity) USING (entity) WHERE date >= last - INTERVAL {n} YEAR""",
-                seg["monthly"]) for n in (1, 5)],
+                seg["monthly"]) for n in (1, 5, 10, 20)],
+        Query("p14_trailing_all", lambda s, t: intervals.trailing_window(chain.monthly(t), KEYS),
+              {**ROW, **SERIES6}, "SELECT * FROM monthly", seg["monthly"]),
         Query("p15_event_replay", replay, {**ROW, "period_name": "s", "ECON_STRESS": "f6"},
               """SELECT r.entity, r.date, r.ECON_STRESS, i.name AS period_name FROM retained r
                  JOIN islands i ON r.entity = i.entity
                   AND r.date BETWEEN i.start_date - INTERVAL 12 MONTH AND i.end_date + INTERVAL 6 MONTH""",
               seg["islands"]),
+        Query("p16_selected_period",
+              lambda s, t: intervals.visible_periods(all_islands(s, t), chain.monthly(t), KEYS, selected="early"),
+              islands_cols,
+              """SELECT entity, name, min(date) AS start_date, max(date) AS end_date FROM (
+                   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date)
+                     - row_number() OVER (PARTITION BY entity, hit ORDER BY date) AS run
+                   FROM (SELECT entity, date, 'early' AS name, FEDFUNDS > 20 AND month(date) <= 4 AS hit
+                         FROM monthly)) WHERE hit GROUP BY entity, name, run""", seg["monthly"]),
         Query("p16_visible_periods", visible, islands_cols,
               """SELECT i.* FROM islands i JOIN (
                    SELECT entity, min(date) AS first FROM retained r JOIN (
@@ -326,10 +336,11 @@ def queries() -> list[Query]:
               {**ROW, **SERIES6, "VIX_MOMENTUM": "f6"},
               """SELECT * FROM features QUALIFY row_number() OVER
                  (PARTITION BY entity ORDER BY date DESC) = 1""", seg["features"]),
-        Query("w17_background", lambda s, t: timeseries.background(chain.monthly(t), KEYS, n=30),
-              {**ROW, **SERIES6},
-              """SELECT * FROM monthly QUALIFY row_number() OVER
-                 (PARTITION BY entity ORDER BY date DESC) BETWEEN 2 AND 31""", seg["monthly"]),
+        *[Query(name, lambda s, t, n=n: timeseries.background(chain.monthly(t), KEYS, n=n),
+                {**ROW, **SERIES6},
+                f"""SELECT * FROM monthly QUALIFY row_number() OVER
+                    (PARTITION BY entity ORDER BY date DESC) BETWEEN 2 AND {n + 1}""", seg["monthly"])
+          for name, n in (("w17_background", 30), ("w17_background_200", 200))],
         Query("w18_persistence",
               lambda s, t: timeseries.persistence_forecast(index.training_set(chain.targets(s, t))),
               {**ROW, "prediction": "f6", "TARGET_STRESS_3M": "f6"},

@@ -33,6 +33,12 @@ def full_panel(t):
                                       tuple(INDICATORS.values()))
 
 
+def every_indicator(spark, t):
+    """The files of all indicators stacked: each frame reads only its own folder."""
+    stored = materialise(indicator_long(t), "indicators", ["indicator"])
+    return reshape.union_all([stored.where(F.col("indicator") == n) for n in INDICATORS.values()])
+
+
 def envelopes(t):
     """One envelope per indicator, with rows of unknown codes, bad years and text values."""
     rows = indicator_long(t)
@@ -198,6 +204,8 @@ def queries() -> list[Query]:
             [indicator_long(t).where(F.col("indicator") == n) for n in list(INDICATORS.values())[:3]]),
               LONG, "SELECT * FROM indicator_long WHERE indicator IN "
                     "('order_count', 'revenue_millions', 'average_price')", o.indicator_long()),
+        Query("u1_union_all_indicators", every_indicator, LONG, "SELECT * FROM indicator_long",
+              o.indicator_long()),
         Query("j2_left_lookup",
               lambda s, t: t["customer"].join(nation_countries(t).select(
                   F.substring("country_code", 2, 2).cast("int").alias("c_nationkey"), "country"),

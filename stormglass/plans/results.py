@@ -176,6 +176,12 @@ def crisis_view(spark, t):
         "entity", "p.*", "note")
 
 
+def history_view(spark, t):
+    views = documents.result_views(KEYS, history=history(spark, t))
+    return views["stress_history"].select("entity", "status", F.explode("series").alias("p")).select(
+        "entity", "status", "p.*")
+
+
 def date_check(spark, t):
     """Explanations that are current, a month old, or absent, by entity."""
     rows = chain.monthly(t)
@@ -290,6 +296,10 @@ def queries() -> list[Query]:
               """SELECT entity, strftime(date, '%Y-%m-%d') AS date, ECON_STRESS AS economic_stress,
                  STRESS_CHANGE_3M AS stress_change_3m, VIX AS vix, CRISIS = 1 AS crisis,
                  CRISIS_NAME AS crisis_name FROM retained""", o.islands()),
+        Query("c12_stress_history_view", history_view,
+              {"entity": "s", "status": "s", "date": "s", "economic_stress": "f6", "crisis_name": "s"},
+              """SELECT entity, 'success' AS status, strftime(date, '%Y-%m-%d') AS date,
+                 ECON_STRESS AS economic_stress, CRISIS_NAME AS crisis_name FROM retained""", o.islands()),
         Query("c12_crisis_view", crisis_view,
               {"entity": "s", "name": "s", "start_date": "s", "end_date": "s", "note": "s"},
               f"""SELECT entity, name, strftime(start_date, '%Y-%m-%d') AS start_date,

@@ -104,6 +104,20 @@ def nested_drivers(spark, t):
         "entity", (F.col("pos") + 1).alias("rank"), "r.feature", "r.group", "r.shap_value")
 
 
+LISTS = ("top_contributions", "increasing_risk", "reducing_risk")
+GROUP_LISTS = ("grouped_contributions", "grouped_increasing_risk", "grouped_reducing_risk")
+
+
+def all_nested_drivers(spark, t):
+    """All six nested lists, flattened again."""
+    docs = explain.explanation_arrays(attributed(spark, t), KEYS, 5)
+    same = [F.transform(name, lambda r, n=name: F.struct(
+        F.lit(n).alias("list"), (r["group"] if n in GROUP_LISTS else r["feature"]).alias("name"),
+        r["shap_value"].alias("shap_value"))) for name in (*LISTS, *GROUP_LISTS)]
+    numbered = [F.transform(a, lambda r, i: F.struct((i + 1).alias("rank"), r.alias("r"))) for a in same]
+    return docs.select("entity", F.inline(F.concat(*numbered))).select("entity", "rank", "r.*")
+
+
 def event_groups(spark, t):
     """Every event looked up by type, most types unknown to the groups."""
     events = t["events"].select("event_id", F.when(F.col("event_id") % 7 == 0, "VIX")
@@ -309,6 +323,18 @@ totals AS (SELECT entity, "group", sum(shap_value) AS shap_value, sum(abs(shap_v
         Query("a21_nested_drivers", nested_drivers,
               {"entity": "s", "rank": "i", "feature": "s", "group": "s", "shap_value": "f6"},
               top.format("shap_value", "shap_value < 0"), attr),
+        Query("a21_all_nested_drivers", all_nested_drivers,
+              {"entity": "s", "list": "s", "rank": "i", "name": "s", "shap_value": "f6"},
+              " UNION ALL ".join(
+                  f"""SELECT entity, '{name}' AS list, rank, "{col}" AS name, shap_value FROM (
+                      SELECT *, row_number() OVER (PARTITION BY entity ORDER BY {best}, "{col}") AS rank
+                      FROM {source} WHERE {which}) WHERE rank <= {most}"""
+                  for names, source, col, size, most in (
+                      (LISTS, "attributed", "feature", "abs(shap_value)", 5),
+                      (GROUP_LISTS, "totals", "group", "absolute_shap", 1000))
+                  for name, best, which in zip(
+                      names, (f"{size} DESC", "shap_value DESC", "shap_value"),
+                      ("true", "shap_value > 0", "shap_value < 0"))), attr),
         Query("j8_group_lookup", event_groups, {"event_id": "i", "feature": "s", "group": "s"},
               """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'VIX' WHEN 1 THEN 'GDP_GROWTH'
                  ELSE event_type END AS feature, CASE event_id % 7 WHEN 0 THEN 'Market Volatility'
