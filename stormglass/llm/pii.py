@@ -10,8 +10,9 @@ different, and the result passes the same check:
   day number is permuted among the 146,097 days of the 400 years;
 * IPv4 addresses: permuted among all addresses;
 * phone numbers (8 to 15 digits; a country code after + stays), social security numbers;
-* the local part of mail addresses, access keys, and values after `password=` and the like:
-  permuted character by character inside the classes 0-9, A-Z and a-z.
+* the local part of mail addresses, access keys, and values after `password=` and the like, with
+  or without blanks round the sign; quotes at the ends of a value stay: permuted character by
+  character inside the classes 0-9, A-Z and a-z.
 
 The permutations are Feistel networks of eight rounds with SHA-2 of key, kind, round and the
 other half as round function. Strings are cut in two halves whose characters are shifted inside
@@ -33,7 +34,10 @@ DEFAULT_KEY = "stormglass"
 
 _NUMBER_END = r"(?![0-9A-Za-z])"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-SECRET = r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[=:][^\s,;]++"
+SECRET_HEAD = r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[\"']?\h*+[=:]++>?\h*+"
+# A closed quote may hold blanks; other values end at white space, a comma or a semicolon.
+SECRET = (SECRET_HEAD + r"(?:\"[^\"\\\r\n]++\"|'[^'\\\r\n]++'" + _NUMBER_END
+          + r"|[\"']*+[^\s,;\"'][^\s,;]*+)")
 ACCESS_KEY = r"AKIA[0-9A-Z]{16}" + _NUMBER_END
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = (r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
@@ -182,11 +186,14 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     at = F.instr(m, "@")
-    sign = F.length(F.regexp_extract(m, "^[^=:]*[=:]", 0))
+    sign = F.length(F.regexp_extract(m, f"^{SECRET_HEAD}[\"']*", 0))
+    end = F.length(F.regexp_extract(m, "[\"']*$", 0))
+    inner = F.substring(m, sign + 1, F.length(m) - sign - end)
     tail = lambda n: F.substring(m, n + 1, F.length(m))
     return (F.when(kind == "email", F.concat(permute_text(F.substring(m, F.lit(1), at - 1), key, "email"),
                                              F.substring(m, at, F.length(m))))
-            .when(kind == "secret", F.concat(F.substring(m, F.lit(1), sign), permute_text(tail(sign), key, "secret")))
+            .when(kind == "secret", F.concat(F.substring(m, F.lit(1), sign), permute_text(inner, key, "secret"),
+                                               F.substring(m, F.length(m) - end + 1, end)))
             .when(kind == "access_key", F.concat(F.substring(m, 1, 4), permute_text(tail(F.lit(4)), key, "access_key")))
             .when(kind == "ip", _ip(m, key))
             .when(kind == "date", _date(m, key))

@@ -251,6 +251,19 @@ def test_pseudonyms(spark, docs):
     assert "Python" not in pii.apply(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_secrets_with_blanks_and_quotes(spark):
+    value = "4f0c8e1b2a9d7c6e5f4a3b2c1d0e9f8a7b6c5d4e"
+    forms = ['x token = "{}" y', '!! TOKEN = "{}".', "Token: '{}', z", '{{"api_key": "{}"}}', "password={} z", "secret := {}; z", 'pwd=""{}"" z']
+    rows = [(i, f.format(value), 0) for i, f in enumerate(forms)] + [(50, 'token = "two Words" z', 0), (51, 'token = "" z', 0)]
+    out = {r.doc_id: r for r in pii.apply(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), counts=True).collect()}
+    new = re.search(r'"(.*)"', out[0].text)[1]
+    assert re.fullmatch("[0-9a-z]{40}", new) and new != value
+    for i in range(len(forms)):
+        assert out[i].text == forms[i].format(new) and out[i].n_secret == 1
+    assert re.fullmatch('token = "[a-z]{3} [A-Z][a-z]{4}" z', out[50].text) and "two Words" not in out[50].text
+    assert out[51].text == rows[-1][1] and out[51].n_secret == 0
+
+
 def test_warc(spark):
     inner = warc.record(77, "http://x", b"<p>inner</p>", None).decode()
     rows = [(1, "u", "same", 0), (2, "u", "same", 0), (3, None, None, 0), (4, "http://a\nb", "", 0), (5, "u", inner + "tail", 0), (6, "u", inner + "tail", 0),
