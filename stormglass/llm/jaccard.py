@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import text as T
+from .columns import keeps_columns
 from .graph import components
 
 SIZE, PERCENT = 4, 85
@@ -422,14 +423,21 @@ def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@keeps_columns("_row")
 def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE,
           percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
+    """One row of each component, the one with the smallest (id, row), with all its columns.
 
-    Rows that repeat that id are copies or unrelated texts; only one row of an id stays.
-    Documents without an id are kept: no component can be named by them.
+    Rows are told apart by a written number, so rows that repeat an id are separate documents and
+    rows without an id take part; those come after all ids. Rows without shingles are kept, one
+    for each id, and all that have no id.
     """
-    groups = components_of(docs, text, doc_id, size, percent)
-    stay = groups.filter(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(stay, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.filter(F.col(doc_id).isNull())).select(*docs.columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    sets, comps = link_classes(rows, text, "_row", size, percent)
+    placed = (sets.withColumnRenamed("doc_id", "_row").join(comps.toDF("cls", "component"), "cls", "left")
+              .select("_row", F.coalesce("component", "cls").alias("_component"))
+              .join(rows.select("_row", F.col(doc_id).alias("_id")), "_row"))
+    alone = F.when(F.col("_component").isNull(), F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("row "), "_row")))
+    stay = placed.groupBy("_component", alone.alias("_alone")).agg(
+        F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("_first")).select("_first._row")
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)

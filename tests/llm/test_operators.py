@@ -311,6 +311,20 @@ def test_jaccard_components(spark, docs):
     assert jaccard.components_of(empty(spark)).count() == jaccard.apply(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(6)
+    def words(n):
+        return " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    a, b, c, d, e = (words(60) for _ in range(5))
+    rows = [(1, a), (2, b), (2, a + " end"), (3, c), (3, d), (3, c), (None, d + " end"), (None, e), (None, e + " end"), (4, ""), (4, ""), (None, None), (None, "")]
+    table = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, _row int").repartition(3)
+    got = [(r.doc_id, r.text, r["_row"]) for r in jaccard.apply(table).collect()]
+    named = sorted(r for r in got if r[0] is not None)
+    assert named == sorted([(1, a, 7), (2, b, 7), (3, c, 7), (3, d, 7), (4, "", 7)])
+    unnamed = [r[1] for r in got if r[0] is None]
+    assert len(unnamed) == 3 and sum(not t for t in unnamed) == 2 and sum((t or "").startswith(e) for t in unnamed) == 1
+
+
 def test_registration(spark):
     names = [n for n in entry_module.queries() if n.startswith("op") or n == "pipeline"]
     assert len(names) == 11
