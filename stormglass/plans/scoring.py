@@ -108,12 +108,16 @@ LISTS = ("top_contributions", "increasing_risk", "reducing_risk")
 GROUP_LISTS = ("grouped_contributions", "grouped_increasing_risk", "grouped_reducing_risk")
 
 
+def listed_driver(name):
+    """A function of one element; a second parameter would receive its position."""
+    label = "group" if name in GROUP_LISTS else "feature"
+    return lambda r: F.struct(F.lit(name).alias("list"), r[label].alias("name"), r["shap_value"].alias("shap_value"))
+
+
 def all_nested_drivers(spark, t):
     """All six nested lists, flattened again."""
     docs = explain.explanation_arrays(attributed(spark, t), KEYS, 5)
-    same = [F.transform(name, lambda r, n=name: F.struct(
-        F.lit(n).alias("list"), (r["group"] if n in GROUP_LISTS else r["feature"]).alias("name"),
-        r["shap_value"].alias("shap_value"))) for name in (*LISTS, *GROUP_LISTS)]
+    same = [F.transform(name, listed_driver(name)) for name in (*LISTS, *GROUP_LISTS)]
     numbered = [F.transform(a, lambda r, i: F.struct((i + 1).alias("rank"), r.alias("r"))) for a in same]
     return docs.select("entity", F.inline(F.concat(*numbered))).select("entity", "rank", "r.*")
 
