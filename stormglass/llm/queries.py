@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, jaccard, mixing, packing, pii, quality, sql, token_files, urls, warc
+from . import (chunks, decontaminate, jaccard, merkle, mixing, packing, pii, quality, sql, token_files, urls,
+               warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +59,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (op1_token_files, op2_context_mixing, op3_url_reputation, op4_substring_dedup, op5_decontaminate,
-           op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join)
+           op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join, op12_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

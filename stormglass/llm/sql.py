@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, quality, urls
+from . import decontaminate, jaccard, merkle, quality, urls
 
 _WORD, _BENCH_WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -154,5 +154,68 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN sizes USING (r)
 JOIN (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a) AS c USING (r)"""
 
+
+def _field(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(count: str) -> str:
+    return "sha256(" + " || ".join(_field(count if f == "n_chars" else f) for f in merkle.FIELDS) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """All levels of the trees of (tree, idx, h)."""
+    return f"""{name} AS (
+  SELECT 0 AS level, tree, idx, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL
+  SELECT level + 1, tree, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 1) // 2)
+  FROM {name} WHERE n > 1 GROUP BY level, tree, idx // 2)"""
+
+
+def _steps(nodes: str, levels: str) -> str:
+    """Steps (r, level, slot, h) from the nodes (r, tree, idx) to the roots of their trees; h is the sibling, if any."""
+    return f"""SELECT x.r, l.level, (x.idx >> l.level) & 1 AS slot, s.h FROM {nodes} AS x
+  JOIN (SELECT DISTINCT tree, level FROM {levels} WHERE n > 1) AS l ON l.tree = x.tree
+  LEFT JOIN {levels} AS s ON s.tree = x.tree AND s.level = l.level AND s.idx = xor(x.idx >> l.level, 1::BIGINT)"""
+
+
+# The table of crc32 has an entry for each byte, eight steps from its number.
+OP12 = f"""
+WITH RECURSIVE crc(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM crc WHERE k < 8),
+d AS (SELECT row_number() OVER () AS r, coalesce('=' || lang, '') AS tree, doc_id, {_leaf("n_chars")} AS leaf,
+  {_leaf("n_chars + 1")} AS changed FROM documents),
+sums(r, rest, c) AS (
+  SELECT r, CAST(doc_id AS VARCHAR), 4294967295::BIGINT FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r, substr(rest, 2), xor(crc.c, sums.c >> 8) FROM sums
+  JOIN crc ON crc.k = 8 AND crc.i = xor(sums.c, ascii(rest)::BIGINT) & 255 WHERE rest <> ''),
+chosen AS (SELECT r FROM sums WHERE rest = '' AND xor(c, 4294967295::BIGINT) % 7 = 0),
+leaves AS (SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS h FROM d),
+{_levels("up", "leaves")},
+subroots AS (SELECT tree AS name, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, h FROM up WHERE n = 1),
+{_levels("top", "subroots")},
+height AS (SELECT tree AS name, level AS high FROM up WHERE n = 1),
+named AS (SELECT name AS r, tree, idx FROM subroots),
+steps AS (
+  SELECT r, level, slot, h FROM ({_steps("leaves", "up")})
+  UNION ALL
+  SELECT leaves.r, high + s.level, s.slot, s.h FROM ({_steps("named", "top")}) AS s
+  JOIN height ON height.name = s.r JOIN leaves ON leaves.tree = s.r),
+proofs AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof FROM steps GROUP BY r),
+folded(r, level, h) AS (
+  SELECT d.r, 0, CASE WHEN chosen.r IS NOT NULL THEN changed ELSE leaf END FROM d LEFT JOIN chosen ON chosen.r = d.r
+  UNION ALL
+  SELECT f.r, f.level + 1, sha256(CASE WHEN slot = 0 THEN f.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || f.h END)
+  FROM folded AS f JOIN steps AS s ON s.r = f.r AND s.level = f.level),
+ends AS (SELECT r, max(level) AS level FROM folded GROUP BY r)
+SELECT d.doc_id, d.leaf, subroots.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  folded.h AS folded_root, folded.h = root.h AS verified
+FROM d JOIN subroots ON subroots.name = d.tree JOIN (SELECT h FROM top WHERE n = 1) AS root ON true
+JOIN ends ON ends.r = d.r JOIN folded ON folded.r = d.r AND folded.level = ends.level
+LEFT JOIN proofs ON proofs.r = d.r"""
+
 QUERIES = {"op3_url_reputation": OP3, "op5_decontaminate": OP5, "op6_quality_rules": OP6, "op9_warc": OP9,
-           "op10_jaccard_join": OP10}
+           "op10_jaccard_join": OP10, "op12_merkle_manifest": OP12}
