@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chunks, decontaminate, jaccard, merkle, mixing, packing, pii, quality, sql, token_files, urls,
+from . import (chunks, decontaminate, infill, jaccard, merkle, mixing, packing, pii, quality, sql, token_files, urls,
                warc)
 
 
@@ -59,12 +59,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = (op1_token_files, op2_context_mixing, op3_url_reputation, op4_substring_dedup, op5_decontaminate,
-           op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join, op12_merkle_manifest)
+           op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join, op11_fill_in_middle,
+           op12_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, merkle, quality, urls
+from . import decontaminate, infill, jaccard, merkle, quality, urls
 
 _WORD, _BENCH_WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -217,5 +217,28 @@ FROM d JOIN subroots ON subroots.name = d.tree JOIN (SELECT h FROM top WHERE n =
 JOIN ends ON ends.r = d.r JOIN folded ON folded.r = d.r AND folded.level = ends.level
 LEFT JOIN proofs ON proofs.r = d.r"""
 
+def _number(group: int) -> str:
+    return f"CAST('0x' || substr(digest, {1 + 8 * group}, 8) AS BIGINT)"
+
+
+_MARKED = " OR ".join(f"contains(t, '{m.decode()}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+_P, _S_, _M = (m.decode() for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    sha256('{infill.SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+c AS (
+  SELECT *, least({_number(0)} % (n + 1), {_number(1)} % (n + 1)) AS lo, greatest({_number(0)} % (n + 1), {_number(1)} % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR {_MARKED} OR {_number(2)} % 100 >= {infill.RATE} THEN 'plain'
+      WHEN {_number(3)} % 100 < {infill.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, lo) AS a, substr(t, lo + 1, hi - lo) AS b, substr(t, hi + 1) AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{_P}' || a || '{_S_}' || c || '{_M}' || b
+    ELSE '{_S_}' || c || '{_P}' || a || '{_M}' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
 QUERIES = {"op3_url_reputation": OP3, "op5_decontaminate": OP5, "op6_quality_rules": OP6, "op9_warc": OP9,
-           "op10_jaccard_join": OP10, "op12_merkle_manifest": OP12}
+           "op10_jaccard_join": OP10, "op11_fill_in_middle": OP11,
+           "op12_merkle_manifest": OP12}
