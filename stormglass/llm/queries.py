@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chunks, decontaminate, infill, jaccard, merkle, mixing, packing, pii, quality, sql, token_files, urls,
+from . import (chunks, decontaminate, infill, jaccard, merkle, mixing, packing, pii, pu, quality, sql, token_files, urls,
                warc)
 
 
@@ -67,9 +67,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = (op1_token_files, op2_context_mixing, op3_url_reputation, op4_substring_dedup, op5_decontaminate,
            op6_quality_rules, op7_best_fit_packing, op8_pii, op9_warc, op10_jaccard_join, op11_fill_in_middle,
-           op12_merkle_manifest)
+           op12_merkle_manifest, op13_pu_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
