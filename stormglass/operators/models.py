@@ -1,4 +1,4 @@
-"""Fits on Spark ML, with imputation and scaling as plain column expressions.
+"""Linear fits from shared scans, trees on Spark ML, with imputation and scaling as plain column expressions.
 
 A fitted model is a small table of numbers or a Spark ML model; scoring is a projection,
 so it needs no shuffle. Training frames are scanned many times: pass a materialised table.
@@ -12,11 +12,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +23,7 @@ from .. import fixed
 from ..functions import (conform, lenient_double, numeric_columns, warning_active,
                          warning_level)
 from ..storage import literal_table
-from .profile import pearson
-from .ranking import exact_medians
+from . import together
 
 COEF_SCHEMA = "feature string, median double, mean double, scale double, beta double"
 SEED = 42
@@ -53,6 +51,11 @@ class Scaler:
     def features(self) -> list[str]:
         return list(self.median)
 
+    def narrow(self, cols: Sequence[str]) -> Scaler:
+        """The same for some of the features, in their order."""
+        keep = [c for c in cols if c in self.median]
+        return Scaler(*[{c: part[c] for c in keep} for part in (self.median, self.mean, self.scale)])
+
     def imputed(self, name: str) -> Column:
         return F.coalesce(F.col(name).cast("double"), F.lit(self.median[name]))
 
@@ -62,18 +65,10 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
     """Exact medians, then moments of the imputed columns. All-null columns are left out."""
-    found = exact_medians(df, cols)
-    median = {c: float(m) for c, m in found.items() if m is not None}
-    if not median:
+    found = together.scalers(together.training_sets(df, cols, cols[0]))[0]
+    if not found[0]:
         raise ValueError("no feature has a value")
-    one = df.agg(*[
-        F.struct(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(m))).alias("mean"),
-                 F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(m))).alias("dev"))
-        .alias(c) for c, m in median.items()]).first()
-    # A deviation within rounding of zero belongs to a constant column: scale by 1.
-    return Scaler(median, {c: one[c]["mean"] for c in median},
-                  {c: one[c]["dev"] if one[c]["dev"] > 1e-12 * abs(one[c]["mean"]) else 1.0
-                   for c in median})
+    return Scaler(*found)
 
 
 def class_balance(df: DataFrame, target: str = fixed.TARGET) -> tuple[int, int]:
@@ -135,26 +130,25 @@ def logistic_from_table(coef: DataFrame) -> LogisticModel:
     return LogisticModel(scaler, {c: r["beta"] for c, r in named.items()}, intercept)
 
 
+def _ratio(penalty: str, l1_ratio: float | None) -> float:
+    return {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty]
+
+
 def fit_logistic(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET, C: float = 1.0,
                  penalty: str = "l2", l1_ratio: float | None = None,
-                 scaler: Scaler | None = None, max_iter: int = 2_000,
-                 tol: float = 1e-6) -> LogisticModel:
+                 scaler: Scaler | None = None, max_iter: int = 60,
+                 tol: float = 1e-8) -> LogisticModel:
     """Median-imputed, standardised, class-balanced logistic regression.
 
-    Minimises C * sum(weight * loss) + penalty on scaled inputs. Spark divides the loss by
-    the total weight, which is the row count here, hence regParam = 1 / (C * rows).
+    Minimises C * sum(weight * loss) + penalty on scaled inputs by proximal Newton steps, one scan each. tol bounds the
+    optimality residual for each unit of weight; a fit that does not reach it within max_iter scans is an error.
     """
     scaler = scaler or fit_scaler(df, cols)
-    neg, pos = class_balance(df, target)
-    if not neg or not pos:
-        raise ValueError("training needs both classes")
-    mix = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty]
-    data = _assembled(df, {c: scaler.scaled(c) for c in scaler.features}, F.col(target),
-                      _balanced(target, neg, pos))
-    fit = LogisticRegression(weightCol="weight", standardization=False, elasticNetParam=mix,
-                             regParam=1 / (C * (neg + pos)), maxIter=max_iter, tol=tol).fit(data)
-    return LogisticModel(scaler, dict(zip(scaler.features, map(float, fit.coefficients))),
-                         float(fit.intercept))
+    sets = together.training_sets(df, scaler.features, target)
+    setting = together.Setting("Logistic Regression", 0, C, _ratio(penalty, l1_ratio))
+    ((beta, intercept, *_),) = together.fit_logistic_all(
+        sets, [setting], [(scaler.median, scaler.mean, scaler.scale)], tol, max_iter)
+    return LogisticModel(scaler, beta, intercept)
 
 
 def fit_scorecard(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET,
@@ -164,8 +158,8 @@ def fit_scorecard(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET
     One scan after the scaler's. A constant feature, or a label of one class, has weight 0.
     """
     scaler = scaler or fit_scaler(df, cols)
-    one = df.agg(*[pearson(scaler.imputed(c), F.col(target)).alias(c) for c in scaler.features]).first()
-    return LogisticModel(scaler, {c: one[c] or 0.0 for c in scaler.features}, 0.0)
+    (moments,) = together.co_moments(together.training_sets(df, scaler.features, target), scaler.median)
+    return LogisticModel(scaler, together.correlations_with_target(moments, scaler.median), 0.0)
 
 
 def nonzero_coefficients(model: LogisticModel, eps: float = 1e-8) -> int:
@@ -277,12 +271,40 @@ class LinearModel:
 
 def fit_linear(df: DataFrame, cols: Sequence[str], target: str = fixed.LEVEL_TARGET,
                scaler: Scaler | None = None) -> LinearModel:
-    """Ordinary least squares. Scaling the target would not change the predictions."""
+    """Ordinary least squares by the normal equations. Scaling the target would not change the predictions."""
     scaler = scaler or fit_scaler(df, cols)
-    data = _assembled(df, {c: scaler.scaled(c) for c in scaler.features}, F.col(target))
-    fit = LinearRegression(solver="normal").fit(data)
-    return LinearModel(scaler, dict(zip(scaler.features, map(float, fit.coefficients))),
-                       float(fit.intercept))
+    (moments,) = together.co_moments(together.training_sets(df, scaler.features, target), scaler.median)
+    return LinearModel(scaler, *together.least_squares(moments, scaler.median, scaler.scale))
+
+
+# --- the same fits for many training sets at once ------------------------------
+
+
+def _all_logistic(sets: together.TrainingSets, scalers: Sequence[Scaler], options: Sequence[dict],
+                  cols: Sequence[Sequence[str]]) -> list[list[LogisticModel]]:
+    settings = [together.Setting(str(o), f, o.get("C", 1.0), _ratio(o.get("penalty", "l2"), o.get("l1_ratio")), tuple(use))
+                for o, use in zip(options, cols) for f in range(sets.count)]
+    fitted = iter(together.fit_logistic_all(sets, settings, [(s.median, s.mean, s.scale) for s in scalers]))
+    return [[LogisticModel(scalers[f].narrow(use), *next(fitted)[:2]) for f in range(sets.count)] for use in cols]
+
+
+def _all_scorecards(sets, scalers, options, cols) -> list[list[LogisticModel]]:
+    moments = together.co_moments(sets, scalers[-1].median)
+    out = []
+    for use in cols:
+        narrow = [s.narrow(use) for s in scalers]
+        out.append([LogisticModel(s, together.correlations_with_target(m, s.median), 0.0) for s, m in zip(narrow, moments)])
+    return out
+
+
+def _all_linear(sets, scalers, options, cols) -> list[list[LinearModel]]:
+    moments = together.co_moments(sets, scalers[-1].median)
+    return [[LinearModel(s, *together.least_squares(m, s.median, s.scale))
+             for s, m in zip([s.narrow(use) for s in scalers], moments)] for use in cols]
+
+
+# Fits whose training sets share their scans: (sets, scalers, options, columns) -> models by option and set.
+TOGETHER = {fit_logistic: _all_logistic, fit_scorecard: _all_scorecards, fit_linear: _all_linear}
 
 
 # --- scoring the latest rows ---------------------------------------------------

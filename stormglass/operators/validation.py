@@ -1,8 +1,8 @@
 """Benchmarks, walk-forward validation, comparisons and the final fit.
 
 Folds are partition filters on one materialised table of model inputs. Imputation and
-scaling depend on the fold only, so they are computed once per fold and shared by all
-models that are fitted on it. The test rows of a fold are scanned once for all models.
+scaling depend on the fold only; those of all folds come from shared scans, as do all linear
+and logistic fits (see `together`). The test rows of a fold are scanned once for all models.
 Fits on small data run side by side from a few driver threads; on large data every fit
 fills the cluster by itself.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..storage import literal_table, materialise
-from . import evaluate, models
+from . import evaluate, models, together
 from .folds import Fold, assign_test_folds, chronological_split, fold_summary, walk_forward_folds
 from .reshape import union_all
 from .timeseries import persistence_forecast
@@ -93,16 +93,23 @@ def prepare_folds(df: DataFrame, keys: Sequence[str], order: str = "date", k: in
             F.count_distinct(F.when(F.col("pos") <= f.train_end, F.col(target)))
             for f in folds]).first()
         folds = [f for f, classes in zip(folds, counts) if classes == 2]
-    scalers = side_by_side(df.sparkSession, lambda f: models.fit_scaler(train_rows(rows, f), cols),
-                           folds, threads)
+    if not folds:
+        raise ValueError("no fold has both classes in its training rows")
+    scalers = [models.Scaler(*found) for found in together.scalers(_training_sets(rows, folds, cols, target))]
     return FoldedData(rows, cols, list(keys), order, target, folds,
                       {f.fold: s for f, s in zip(folds, scalers)}, threads)
 
 
-def _narrow(scaler: models.Scaler, cols: Sequence[str]) -> models.Scaler:
-    keep = [c for c in cols if c in scaler.median]
-    return models.Scaler(*[{c: part[c] for c in keep}
-                           for part in (scaler.median, scaler.mean, scaler.scale)])
+def _training_sets(rows: DataFrame, folds: Sequence[Fold], cols: Sequence[str], target: str) -> together.TrainingSets:
+    """The nested training sets of the folds; a row enters with the first fold that trains on it."""
+    enters = F.lit(None).cast("int")
+    for i, f in reversed(list(enumerate(folds))):
+        enters = F.when(F.col("pos") <= f.train_end, i).otherwise(enters)
+    return together.training_sets(rows, cols, target, enters, len(folds))
+
+
+def fold_training_sets(data: FoldedData) -> together.TrainingSets:
+    return _training_sets(data.rows, data.folds, data.cols, data.target)
 
 
 def out_of_fold(data: FoldedData, fits: Mapping[str, Callable],
@@ -112,16 +119,24 @@ def out_of_fold(data: FoldedData, fits: Mapping[str, Callable],
 
     Also returns the fitted models by (model, fold).
     """
-    jobs = [(name, f) for f in data.folds for name in fits]
+    use = {name: (cols or {}).get(name, data.cols) for name in fits}
+    fitted, alone = {}, dict(fits)
+    for kind, solve in models.TOGETHER.items():
+        parts = {n: fit.keywords if isinstance(fit, partial) else {} for n, fit in fits.items()
+                 if (fit.func if isinstance(fit, partial) else fit) is kind}
+        if parts:
+            found = solve(fold_training_sets(data), [data.scalers[f.fold] for f in data.folds], list(parts.values()), [use[n] for n in parts])
+            fitted |= {(n, f.fold): m for n, row in zip(parts, found) for f, m in zip(data.folds, row)}
+            alone = {n: fit for n, fit in alone.items() if n not in parts}
+    jobs = [(name, f) for f in data.folds for name in alone]
 
     def run(job):
         name, f = job
-        use = (cols or {}).get(name, data.cols)
-        return fits[name](data.train(f), use, target=data.target,
-                          scaler=_narrow(data.scalers[f.fold], use))
+        return alone[name](data.train(f), use[name], target=data.target,
+                           scaler=data.scalers[f.fold].narrow(use[name]))
     spark = data.rows.sparkSession
-    fitted = dict(zip([(n, f.fold) for n, f in jobs],
-                      side_by_side(spark, run, jobs, data.threads)))
+    fitted |= dict(zip([(n, f.fold) for n, f in jobs],
+                       side_by_side(spark, run, jobs, data.threads)))
     parts = [score_all(data.test(f), {n: fitted[n, f.fold] for n in fits}, score).select(
         "model", "fold", *data.keys, data.order, F.col(data.target).alias("actual"), score)
         for f in data.folds]
@@ -206,7 +221,7 @@ def compare_regularisation(df: DataFrame, keys: Sequence[str], grid=REGULARISATI
                            alarm_start: str = "position") -> tuple[DataFrame, DataFrame]:
     """Nine penalties over identical folds, with retained features and false alarms a year."""
     data = prepare_folds(df, keys, order, k, unit)
-    fits = {name: partial(models.fit_logistic, penalty=p, C=c, l1_ratio=r, max_iter=10_000)
+    fits = {name: partial(models.fit_logistic, penalty=p, C=c, l1_ratio=r)
             for name, p, c, r in grid}
     scored, fitted = out_of_fold(data, fits)
     kept = literal_table(
@@ -253,7 +268,7 @@ def benchmark_regression(df: DataFrame, keys: Sequence[str], order: str = "date"
     train, test = rows.where("is_train"), rows.where("not is_train")
     scaler = models.fit_scaler(train, cols)
     macro = [c for c in cols if c != "ECON_STRESS"]
-    narrow = _narrow(scaler, macro)
+    narrow = scaler.narrow(macro)
     forest = partial(models.fit_forest_regressor, trees=trees)
     fitted = {
         "Random Forest + Current Stress": forest(train, cols, scaler=scaler),

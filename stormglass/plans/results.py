@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import documents, explain, index, models, validation
+from ..operators import documents, explain, index, models, together, validation
 from ..operators.timeseries import latest_rows
 from ..sources import load_model, read_documents, save_model, write_documents
 from ..storage import literal_table, materialise, scratch_path
@@ -49,17 +49,14 @@ def logistic(penalty, ratio=None):
 
 
 def nonzero(spark, t):
+    """All penalties on one training set, fitted side by side."""
     _, rows = training(spark, t)
     rows, cols = models.model_inputs(rows, KEYS)
     rows = materialise(rows.select(*KEYS, "date", fixed.TARGET, *cols), "inputs")
-    scaler = models.fit_scaler(rows, cols)
-
-    def count(config):
-        name, p, c, r = config
-        return name, models.nonzero_coefficients(models.fit_logistic(
-            rows, cols, penalty=p, C=c, l1_ratio=r, scaler=scaler, max_iter=10_000))
-    found = validation.side_by_side(spark, count, validation.REGULARISATION_GRID)
-    return literal_table(spark, found, "model string, retained_features int")
+    sets = together.training_sets(rows, cols, fixed.TARGET)
+    settings = [together.Setting(name, 0, c, {"l2": 0.0, "l1": 1.0}.get(p, r))
+                for name, p, c, r in validation.REGULARISATION_GRID]
+    return together.residual_table(spark, settings, together.fit_logistic_all(sets, settings, together.scalers(sets)))
 
 
 def majority(spark, t):
