@@ -51,7 +51,8 @@ def linear(spark, t):
 def _sql(target: str) -> str:
     a, b = PAIR
     return f"""{oracle.targets().replace("targets AS (", "targets AS MATERIALIZED (")},
-known AS MATERIALIZED (SELECT *, CAST({target} AS DOUBLE) AS y FROM targets WHERE {target} IS NOT NULL),
+known AS MATERIALIZED (SELECT *, CAST({target} AS DOUBLE) AS y FROM targets
+  WHERE {target} IS NOT NULL AND TARGET_STRESS_CHANGE_3M IS NOT NULL AND {fixed.TARGET} IS NOT NULL),
 placed AS MATERIALIZED (SELECT entity, date, y, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b,
   dense_rank() OVER (ORDER BY date) AS pos, (SELECT count(DISTINCT date) FROM known) AS n FROM known),
 folds AS (SELECT CAST(unnest(generate_series(1, 5)) AS BIGINT) AS fold),
