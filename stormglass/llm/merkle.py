@@ -8,8 +8,8 @@ The subroots, ordered by the tree column (null first, by UTF-8 bytes), give the
 
 Every level is one table. A node finds the others of its run by an equijoin of the level with itself
 on a computed index: the number with its lowest bit flipped for two, else one join for each shift of the slot. The
-nodes in slot 0 then emit the parents. Proofs are handed down in one chain of joins from the root, each node adding its siblings
-to the path of its parent. Indices come from a range sort whose parts are counted, so no task sees a whole tree.
+nodes in slot 0 then emit the parents. Proofs are handed down by joins from the root, each node adding its siblings
+to the path of its parent, and written after every few levels. Indices come from a range sort whose parts are counted, so no task sees a whole tree.
 
 Defined cases: null fields are `-`. Rows that are equal in the tree and order column are ordered by their leaf, so
 equal rows are separate leaves with equal digests. A lone leaf is its subroot, a lone subroot the root. No rows
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-ARITY = 2
+ARITY, CHAIN = 2, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 HEX_DIGITS = 64
 _STEP = "struct<slot: int, siblings: binary>"
@@ -80,9 +80,12 @@ def _with_siblings(nodes: DataFrame, arity: int, carry: Sequence[str]) -> DataFr
         other = nodes.select(F.col("tree").alias("tree_"), F.col("idx").alias(f"at{j}"), F.col("digest").alias(f"sib{j}"))
         out = out.withColumn("look", index).join(
             other, (F.col("tree") == F.col("tree_")) & (F.col("look") == F.col(f"at{j}")), "left").drop("tree_", "look")
-    found = F.array_sort(F.array(*[F.struct(F.col(f"at{j}").alias("at"), F.col(f"sib{j}").alias("sib")) for j in range(len(at))]))
     none = F.lit(b"")
-    siblings = F.aggregate(found, none, lambda all_, s: F.concat(all_, F.coalesce(s["sib"], none)))
+    if arity == 2:
+        siblings = F.coalesce("sib0", none)
+    else:
+        found = F.array_sort(F.array(*[F.struct(F.col(f"at{j}").alias("at"), F.col(f"sib{j}").alias("sib")) for j in range(len(at))]))
+        siblings = F.aggregate(found, none, lambda all_, s: F.concat(all_, F.coalesce(s["sib"], none)))
     return out.select("tree", "idx", "n", "digest", "slot", siblings.alias("siblings"), *carry)
 
 
@@ -121,6 +124,8 @@ def _handed_down(levels: Sequence[DataFrame], roots: DataFrame, arity: int, extr
                 F.floor(F.col("idx") / arity) == F.col("parent")))
             found = found.unionByName(below.select(*cols, F.concat(own, "rest").alias("path"), *extra))
         paths = found
+        if i and (len(levels) - i) % CHAIN == 0:  # keeps the plan, and what the driver holds of it, small
+            paths = materialise(paths, "merkle-paths")
     return paths
 
 
