@@ -1,8 +1,9 @@
 """Vectorised text helpers used inside tasks: bytes, words, lines and their 64-bit hashes.
 
 Texts are handled as the bytes of an Arrow column, in slices of about a megabyte, so that
-memory does not depend on the size of a batch. Every hash is a polynomial over the bytes
-(or over word hashes) modulo 2**64, read off prefix sums, followed by a bit mixer.
+memory does not depend on the size of a batch. Every hash of a span joins two polynomials over the bytes
+(or over word hashes), one modulo 2**64 and one modulo the prime 2**31 - 1, read off prefix sums, by a bit mixer. The
+first alone would give equal hashes to long texts of a certain regular form, whatever its base.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(
     1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+_PRIME, _SMALL_BASE = (1 << 31) - 1, 1_220_703_125
 
 
 def _table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -46,6 +48,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the second base and of its inverse, modulo the prime."""
+    if "up_prime" not in _powers or len(_powers["up_prime"]) < n:
+        size = max(n, SLICE_BYTES + (1 << 16))
+        for name, base in (("up_prime", _SMALL_BASE), ("down_prime", pow(_SMALL_BASE, -1, _PRIME))):
+            p = np.ones(1, dtype=np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, p * np.uint64(pow(base, len(p), _PRIME)) % np.uint64(_PRIME)])
+            _powers[name] = p[:size]
+    return _powers["up_prime"][:n], _powers["down_prime"][:n]
+
+
+def _prime_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The second polynomial of each span. A product is folded once, to 32 bits, so that sums stay exact."""
+    prime, n = np.uint64(_PRIME), len(values)
+    up, down = prime_powers(n + 1)
+    terms = values & prime
+    terms *= up[:n]
+    high = terms >> np.uint64(31)
+    terms &= prime
+    terms += high
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return (sums[ends] - sums[starts]) % prime * down[starts] % prime
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (in place where possible)."""
     h = h ^ (h >> np.uint64(33))
@@ -62,6 +90,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[:len(values)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
+    h += mix(_prime_hashes(values, starts, ends))
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
