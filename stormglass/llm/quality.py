@@ -4,16 +4,13 @@ Each text is scanned once, in tasks, for its own figures and for the hashes of i
 normalised lines. Lines are then counted over all documents of a host; lines above the
 limit are removed, and documents that lose too much are rejected.
 
-A line is above the limit when more than `limit` documents of the host hold it, in more
-than `limit` different surroundings (previous and next line), where `limit` is the larger of
-`min_docs` and `share` of the host's documents. Surroundings keep the body of a document
-that was merely copied many times: its lines always have the same neighbours, and copies are
-the work of the duplicate stage. Normalised: lower-case A-Z, digits as 0, white space as one
-blank. Lines without a word are never counted or removed.
+A line is above the limit when more than `limit` documents of the host hold it, where `limit` is the larger of
+`min_docs` and `share` of the host's documents. Documents of a host with equal texts count once, in both
+numbers: a text that was merely copied many times is the work of the duplicate stage. Normalised: lower-case A-Z, digits
+as 0, white space as one blank. Lines without a word are never counted or removed.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. A
-null host is a host of its own. A null id counts as a document of its own; repeated rows of
-one id count as one document, and each row gets its own result. Other columns are ignored by
+null host is a host of its own. Ids play no part in the counts; each row gets its own result. Other columns are ignored by
 `judge` and passed through by `apply`.
 """
 
@@ -96,13 +93,7 @@ def _figures(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarra
                "n_symbols": T.per_row(_SYMBOLS[data], offsets),
                "n_dup_lines": np.bincount(l_row, minlength=n) - distinct,
                "n_repeat_words": T.per_row(repeated, bounds)}
-    # Surroundings: the lines before and after, 0 at either end of a document.
-    before, after = np.zeros_like(key), np.zeros_like(key)
-    if len(key):
-        same = l_row[1:] == l_row[:-1]
-        before[1:][same], after[:-1][same] = key[:-1][same], key[1:][same]
-    around = T.mix(before * np.uint64(3) + after)
-    lines = {"line": T.signed(key), "around": T.signed(around), "words": size.astype(np.int64)}
+    lines = {"line": T.signed(key), "words": size.astype(np.int64)}
     return figures, lines | {"bounds": np.concatenate([[0], np.cumsum(np.bincount(l_row, minlength=n))])}
 
 
@@ -113,13 +104,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = lines.pop("bounds")
             items = pa.StructArray.from_arrays([pa.array(v) for v in lines.values()], list(lines))
             cols = {c: batch.column(c).slice(lo, hi - lo) for c in ("_row", "_id", "_host")}
+            cols["_body"] = pa.array(T.signed(T.byte_spans(data, offsets[:-1], offsets[1:])))
             cols |= {k: pa.array(v.astype(np.int64)) for k, v in figures.items()}
             cols["_lines"] = T.list_array(items, bounds)
             yield pa.RecordBatch.from_pydict(cols)
 
 
-_SCHEMA = ("_row long, _id long, _host string, " + ", ".join(f"{c} long" for c in FIGURES)
-           + ", _lines array<struct<line: long, around: long, words: long>>")
+_SCHEMA = ("_row long, _id long, _host string, _body long, " + ", ".join(f"{c} long" for c in FIGURES)
+           + ", _lines array<struct<line: long, words: long>>")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -136,20 +128,12 @@ def _scanned(rows: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
 
 def _over_limit(scanned: DataFrame, min_docs: int, share: float) -> tuple[DataFrame, DataFrame]:
     """All lines (row, host, line, words), and the (host, line) pairs above the limit."""
-    lines = scanned.select(
-        "_row", F.coalesce("_id", -1 - F.col("_row")).alias("_doc"),
-        F.coalesce(F.concat(F.lit("="), "_host"), F.lit("")).alias("_host"),
-        F.explode("_lines").alias("_l")).select("_row", "_doc", "_host", "_l.*")
-    hosts = (scanned.groupBy(F.coalesce(F.concat(F.lit("="), "_host"), F.lit("")).alias("_host"))
-             .agg(F.count_distinct(F.coalesce("_id", -1 - F.col("_row"))).alias("_docs")))
-    counts = (lines.groupBy("_host", "line")
-              .agg(F.count_distinct("_doc").alias("n_docs"),
-                   F.count_distinct("around").alias("n_around"))
-              .filter((F.col("n_docs") > min_docs) & (F.col("n_around") > min_docs)))
-    limit = F.col("_docs") * share
-    over = (counts.join(hosts, "_host")
-            .filter((F.col("n_docs") > limit) & (F.col("n_around") > limit))
-            .select("_host", "line"))
+    host = F.coalesce(F.concat(F.lit("="), "_host"), F.lit("")).alias("_host")
+    lines = scanned.select("_row", "_body", host, F.explode("_lines").alias("_l")).select("_row", "_body", "_host", "_l.*")
+    hosts = scanned.groupBy(host).agg(F.count_distinct("_body").alias("_docs"))
+    counts = (lines.groupBy("_host", "line").agg(F.count_distinct("_body").alias("n_docs"))
+              .filter(F.col("n_docs") > min_docs))
+    over = counts.join(hosts, "_host").filter(F.col("n_docs") > F.col("_docs") * share).select("_host", "line")
     return lines, over
 
 
@@ -161,7 +145,7 @@ def _verdicts(scanned: DataFrame, hits: DataFrame) -> DataFrame:
         (left < MIN_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words")))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (scanned.drop("_lines").join(lost, "_row", "left")
+    return (scanned.drop("_lines", "_body").join(lost, "_row", "left")
             .fillna(0, ["n_removed_words", "n_removed_lines"])
             .withColumn("base_failed", failed)
             .withColumn("kept", ~failed & ~depleted))

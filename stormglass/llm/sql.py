@@ -98,15 +98,10 @@ raw AS (
 lines AS (
   SELECT r, p, l, len(ws) AS words, array_to_string(ws, ' ') AS line FROM (
     SELECT r, p, l, regexp_extract_all({_PLAIN}, '{_WORD}') AS ws FROM raw) WHERE len(ws) > 0),
-placed AS (
-  SELECT r, host, coalesce(doc_id, -1 - r) AS doc, line, words,
-    coalesce(lag(line) OVER o, '') || chr(10) || coalesce(lead(line) OVER o, '') AS around
-  FROM lines JOIN d USING (r) WINDOW o AS (PARTITION BY r ORDER BY p)),
-sized AS (SELECT host, count(DISTINCT coalesce(doc_id, -1 - r)) * {quality.SHARE} AS share FROM d GROUP BY host),
-counts AS (SELECT host, line, count(DISTINCT doc) AS docs, count(DISTINCT around) AS arounds FROM placed GROUP BY ALL),
-over AS (
-  SELECT host, line FROM counts JOIN sized USING (host)
-  WHERE docs > greatest({quality.MIN_DOCS}, share) AND arounds > greatest({quality.MIN_DOCS}, share)),
+placed AS (SELECT r, host, t, line, words FROM lines JOIN d USING (r)),
+sized AS (SELECT host, count(DISTINCT t) * {quality.SHARE} AS share FROM d GROUP BY host),
+counts AS (SELECT host, line, count(DISTINCT t) AS docs FROM placed GROUP BY ALL),
+over AS (SELECT host, line FROM counts JOIN sized USING (host) WHERE docs > greatest({quality.MIN_DOCS}, share)),
 lost AS (SELECT r, sum(words) AS words, count(*) AS n FROM placed SEMI JOIN over USING (host, line) GROUP BY r),
 dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
 figures AS (
