@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with null, empty, long, repeated and clashing input."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -187,11 +188,13 @@ def test_quality_rules(spark, docs):
     body = "\n".join(line(12) for _ in range(4))
     rows = ([(i, f"{line(30)}\nHome  Page {10 + i} | Contact\n{line(20)}", "a", 1) for i in range(30)]
             + [(100 + i, f"Home page {10 + i} | contact\n{line(8)}", "a", 1) for i in range(3)]
-            + [(200 + i, body, "a", 1) for i in range(30)])
+            + [(200 + i, body, "a", 1) for i in range(30)]
+            + [(300 + i, f"{line(30)}\nFirst\nSecond entry\nThird\nLast one\n{line(20)}", "b", 1) for i in range(25)])
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int")
     out = {r.doc_id: r for r in quality.apply(table, n_chars=None).collect()}
     assert "Contact" not in out[0].text and out[0].text.count("\n") == 1 and out[0]["_row"] == 1
     assert out[200].text == body and not set(out) & {100, 101, 102}
+    assert all(out[300 + i].text.count("\n") == 1 for i in range(25))  # a menu of several lines goes as a whole
     assert quality.judge(empty(spark)).count() == quality.apply(empty(spark)).count() == 0
 
 
@@ -211,6 +214,13 @@ def test_packing(spark, docs):
         assert items[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in zip(items, items[1:]))
         assert items[-1].offset + items[-1].length <= 2_000
     assert packing.pack(empty(spark)).count() == 0
+    same = spark.createDataFrame([(None, "same text", "en", "s", 1)] * 600, SCHEMA)
+    shards = Counter(r.shard for r in packing.pack(same, shard_rows=100).collect())
+    assert len(shards) == 6 and max(shards.values()) < 200
+    whole = defaultdict(bytes)
+    for r in sorted(packing.pack(docs.filter("doc_id <> 9007"), capacity=2_000, contents=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+        whole[r.doc_id] += r.content
+    assert whole == {r.doc_id: (r.text or "").encode() for r in docs.filter("doc_id <> 9007").collect()}
 
 
 def test_best_fit_equals_a_plain_search():
@@ -267,7 +277,8 @@ def test_secrets_with_blanks_and_quotes(spark):
 def test_warc(spark):
     inner = warc.record(77, "http://x", b"<p>inner</p>", None).decode()
     rows = [(1, "u", "same", 0), (2, "u", "same", 0), (3, None, None, 0), (4, "http://a\nb", "", 0), (5, "u", inner + "tail", 0), (6, "u", inner + "tail", 0),
-            (7, "u", "x" * 30_000 + inner * 3, 0), (None, "u", "zz", 0), (None, "u", "same", 0)] + [(10 + i, f"u{i}", f"page {i}" * 50, 0) for i in range(100)]
+            (7, "u", "x" * 30_000 + inner * 3, 0), (None, "u", "zz", 0), (None, "u", "same", 0), (8, "long" * 800_000, "wide", 0), (9, "u", "top", 0), (9, "v", "top", 0), (9, "w", "top", 0),
+            (200, "u", "é" * 1_500_000, 0)] + [(10 + i, f"u{i}", f"page {i}" * 50, 0) for i in range(100)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int")
     files = warc.write(pages, file_bytes=20_000)
     places = spark.read.parquet(files.inputFiles()[0].rsplit("/", 1)[0]).count()
@@ -282,9 +293,38 @@ def test_warc(spark):
         ref = -1 if i is None or last[html or ""] == i else last[html or ""]
         want.append((-1 if i is None else i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if ref < 0 else "revisit", ref))
     assert got == sorted(want) and places > 0
+    with gzip.open(files.first().path) as f:  # the file is also a plain gzip stream
+        assert f.read().startswith(warc.VERSION)
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_rejects_members_inside_payloads(spark, tmp_path):
+    def packed(i, payload, level):
+        return warc.member(warc.record(i, "u", payload, None), level)
+    inner = packed(99, b"inner", 9)
+    records = [packed(1, b"plain", 9), packed(2, b"a" + inner * 3_000 + b"b", 0), packed(3, inner, 0), packed(4, b"", 0)]
+    path = tmp_path / "nested.warc.gz"
+    path.write_bytes(b"".join(records))
+    files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, size long")
+    got = sorted((r.page_id, r.payload_bytes) for r in warc.read(files, range_bytes=100_000).collect())
+    assert got == [(1, 5), (2, 3_000 * len(inner) + 2), (3, len(inner)), (4, 0)]
+    for broken in (records[:1] + [records[1][:-1]], [records[0], b"??", records[3]]):
+        path.write_bytes(b"".join(broken))
+        files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, size long")
+        with pytest.raises(Exception, match="chain of records"):
+            warc.read(files).collect()
+
+
+def test_warc_chain():
+    pos = np.array([0, 3, 5, 9, 12, 40])
+    on, end = warc.chain(pos, np.array([5, 9, 12, 12, 40, 50]))
+    assert on.tolist() == [True, False, True, False, True, True] and end == 50
+    on, end = warc.chain(pos, np.array([5, 9, 13, 12, 40, 50]))
+    assert on.tolist() == [True, False, True, False, False, False] and end == 13
+    many = np.arange(5_000)
+    assert warc.chain(many, many + 1)[0].all() and not warc.chain(many[1:], many[1:] + 1)[0].any()
+
+
 def test_jaccard_components(spark, docs):
     got = sorted((r[0] or -1, r[1], -1 if r[2] is None else r[2]) for r in jaccard.components_of(docs.withColumn("cls", F.lit(1))).collect())
     sets = []
@@ -327,18 +367,77 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_registration(spark):
     names = [n for n in entry_module.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(names) == 11
-    for n in range(1, 11):
+    assert len(names) == 14
+    for n in range(1, 14):
         assert any(x.startswith(f"op{n}_") for x in names)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """Planted cases against what each stage has to do with them; clean texts come out byte by byte."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    packed = corpus_pipeline.run(spark, SMALL)
-    ids = {r[0] for r in packed.select("doc_id").distinct().collect()}
-    assert 0 < len(ids) < docs.count()
+    rng = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) + ("é" if rng.random() < 0.05 else "") for _ in range(n))
+    texts = {i: prose(rng.randint(30, 200)) for i in range(40)}
+    texts[40] = prose(9_000)                                             # longer than a bin
+    near = texts[3].split()
+    near[5] = "changed"
+    item = prose(40)
+    gone = {100: texts[1], 101: texts[1], 102: " ".join(near), 103: "too short", 104: "again and " * 60, 105: item + " " + prose(10)}
+    private = {200: prose(40) + " call a.b7@mail8.example.com or 42.144.35.254 now"}
+    rows = [(i, t, "en", "s" if i % 3 else "hot", len(t)) for i, t in (texts | gone | private).items()]
+    rows += [(None, None, "en", "s", 0), (300, "", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = defaultdict(bytes)
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] += r.content
+        assert len(r.content) == r.length
+    new = got.pop(200).decode()
+    assert {i: t.decode() for i, t in got.items()} == texts
+    assert "a.b7@" not in new and "@mail8.example.com" in new and "42.144.35.254" not in new and new[:50] == private[200][:50]
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.shard, r.bin].append(r)
+    assert all(sum(r.length for r in items) <= packing.CAPACITY for items in bins.values())
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality_rules", "near_duplicates", "benchmark_decontamination", "pii_pseudonyms", "best_fit_packing"]
+
+
+def test_stages_release_what_earlier_ones_left(spark):
+    from stormglass import storage
+
+    df = spark.range(5)
+    with storage.tables_of("here"):
+        first, second = storage.materialise(df, "one"), storage.materialise(df, "two")
+    other = storage.materialise(df, "three")
+    assert storage.release(spark, "here", second) == 1 and second.count() == other.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        first.count()
+    assert storage.release(spark, "here") == 1 and storage.release(spark, "here") == 0 and other.count() == 5
+
+
+def test_hashes_of_regular_texts(spark):
+    """Two texts that a polynomial modulo 2**64 can't tell apart, in every operator that compares by hash."""
+    bits = [0]
+    while len(bits) < 4_096:
+        bits += [1 - x for x in bits]
+    one, two = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    table = spark.createDataFrame([(1, f"{one} {two} x", "", "", 1), (2, f"{two} {one} x", "", "", 1)], SCHEMA).coalesce(1)
+    assert {r.component_id for r in jaccard.components_of(table, size=1, percent=90).collect()} == {1}
+    apart = spark.createDataFrame([(1, one, "", "", 1), (2, two, "", "", 1)], SCHEMA).coalesce(1)
+    assert {r.component_id for r in jaccard.components_of(apart).collect()} == {1, 2}
+    assert chunks.regions(apart, min_bytes=4_000).count() == 0
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sums = {r.doc_id: r.ids_crc32 for r in token_files.read(token_files.write(apart, path)).collect()}
+    for i, text in ((1, one), (2, two)):
+        ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+        assert sums[i] == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
 @pytest.mark.parametrize("name", sorted(entry_module.llm_queries.oracle_sql()))
