@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +38,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stormglass/{name}-{uuid.uuid4().hex}"
 
 
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+_written: dict[tuple[str, str], set[str]] = {}  # tables by application and owner
+
+
+@contextmanager
+def tables_of(owner: str) -> Iterator[None]:
+    """Intermediate tables written meanwhile belong to `owner`, who may release them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str, *needed: DataFrame) -> int:
+    """Delete the owner's intermediate tables, but those that the needed frames read.
+
+    For the moment when every other frame built on them has been written elsewhere. Frames that nothing refers to any
+    more let go of their shuffle files too. Returns how many tables went.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of frames that are gone
+    tables = _written.get((spark.sparkContext.applicationId, owner), set())
+    read = {f.split(":", 1)[-1].lstrip("/") for df in needed for f in df.inputFiles()}
+    gone = {t for t in tables if not any(f.startswith(t.split(":", 1)[-1].strip("/") + "/") for f in read)}
+    for path in gone:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    tables -= gone
+    return len(gone)
+
+
 def materialise(df: DataFrame, name: str = "table",
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table once and read it back: short lineage, columnar, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
+    if owner := _owner.get():
+        _written.setdefault((df.sparkSession.sparkContext.applicationId, owner), set()).add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
