@@ -27,7 +27,7 @@ from ..storage import materialise
 from . import text as T
 from .columns import keeps_columns
 
-RATE, MIN_BYTES, MIN_REGION, WINDOW_BYTES = 32, 64, 120, 16
+RATE, MIN_BYTES, MIN_REGION, WINDOW_BYTES = 20, 64, 120, 16
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
