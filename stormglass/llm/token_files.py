@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,7 +94,9 @@ class Encoder:
         starts = starts[starts < n]
         ends = np.append(starts[1:], n)
         keys = T.byte_spans(data, starts, ends)
-        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        inverse, _ = pd.factorize(keys)  # numbered in the order of their first occurrences
+        upto = np.maximum.accumulate(np.append(-1, inverse))
+        at = np.flatnonzero(upto[1:] > upto[:-1])
         raw = data.tobytes()
         found = self._pieces([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
         pool = np.frombuffer(b"".join(found), dtype=self.kind)
