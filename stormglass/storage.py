@@ -52,14 +52,19 @@ def tables_of(owner: str) -> Iterator[None]:
         _owner.reset(token)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, owner: str, *needed: DataFrame) -> int:
     """Delete the owner's intermediate tables, but those that the needed frames read.
 
     For the moment when every other frame built on them has been written elsewhere. Frames that nothing refers to any
     more let go of their shuffle files too. Returns how many tables went.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of frames that are gone
+    let_go(spark)
     tables = _written.get((spark.sparkContext.applicationId, owner), set())
     read = {f.split(":", 1)[-1].lstrip("/") for df in needed for f in df.inputFiles()}
     gone = {t for t in tables if not any(f.startswith(t.split(":", 1)[-1].strip("/") + "/") for f in read)}
