@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import let_go, materialise
 from . import text as T
 from .columns import keeps_columns
 from .graph import components
@@ -364,7 +364,9 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
 
     tokens = sets.select("cls", "n", F.explode("prefix").alias("token"))
     live = materialise(_shared(tokens, percent), "live")
+    let_go(spark)  # the shuffles of all keys are the largest ones
     live = materialise(_shared(live, percent), "live")  # fewer classes, so fewer shared keys
+    let_go(spark)
 
     leaders = live.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select(
         "token", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"))
@@ -385,6 +387,7 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
     full = texts.mapInArrow(lambda it: _full_sets(it, size), "cls long, shingles array<long>")
     full = full.join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     full = materialise(full, "full")
+    let_go(spark)
 
     links = materialise(_verified(star, full, percent), "links")
     comps = components(links.toDF("u", "v"))
