@@ -18,10 +18,10 @@ shingles (64-bit hashes). The steps:
    walked from the root; a pair is dropped if no two of its members can overlap enough:
    overlap <= (largest n - bits set) + bits common to both nodes. Leaf pairs are bounded pair
    by pair. A big bucket is cut into blocks, and block pairs with compatible sizes go to
-   different tasks. Of the surviving candidates between a class and another component the
-   `k` best are verified on the full sets; where more survived and the components are still
-   apart, the step repeats with a larger k. It ends when nothing is left untested, so no link
-   between components is missed.
+   different tasks. Of the surviving candidates of a class in a task `k` are verified on the
+   full sets, other components in turn; where more survived, links found are merged and the
+   step repeats with a larger k. It ends when nothing is left untested, so no link between
+   components is missed.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link with
 nothing; fewer words than the size are one shingle. A document with a null id is in its class
@@ -69,6 +69,12 @@ def _batch_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return [s for _, _, data, offsets in T.text_slices(column) for s in shingle_sets(data, offsets, size)]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.uint64)
+    return T.list_array(pa.array(T.signed(flat)), bounds)
+
+
 def _class_id(s: np.ndarray) -> int:
     bounds = np.array([0]), np.array([len(s)])
     return int(T.signed(T.span_hashes(s, *bounds))[0])
@@ -112,45 +118,42 @@ class _Order:
         self.rank = np.argsort(frequent)
         self.keys = frequent[self.rank]
 
-    def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
+    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket keys of a set: rare ones, and frequent ones if the rare are too few."""
         length, _ = key_counts(len(s), percent)
         if not len(self.keys):
-            return s[:length]
+            return s[:length], s[:0]
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         often = self.keys[at] == s
-        rare = s[~often]
-        if len(rare) >= length:
-            return rare[:length]
+        rare = s[~often][:length]
         rest = s[often][np.argsort(self.rank[at[often]])]
-        return np.concatenate([rare, rest[:length - len(rare)]])
+        return rare, rest[:length - len(rare)]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, order: _Order
           ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, classes, prefixes, seen = batch.column(0), [], [], [], set()
+        ids, sizes, classes, prefixes, seen = batch.column(0), [], [], ([], []), set()
         for s in _batch_sets(batch.column(1), size):
             sizes.append(len(s))
             c = _class_id(s) if len(s) else None
             classes.append(c)
             # One copy in a batch is enough to fill the buckets.
-            prefixes.append(order.prefix(s, percent) if len(s) and c not in seen else s[:0])
+            keys = order.prefix(s, percent) if len(s) and c not in seen else (s[:0], s[:0])
+            for lists, part in zip(prefixes, keys):
+                lists.append(part)
             seen.add(c)
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefixes], dtype=np.int64)])
-        flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).astype(np.uint64)
         yield pa.RecordBatch.from_pydict({
             "doc_id": ids, "n": pa.array(sizes, pa.int64()), "cls": pa.array(classes, pa.int64()),
-            "prefix": T.list_array(pa.array(T.signed(flat)), bounds)})
+            "rare": _lists(prefixes[0]), "often": _lists(prefixes[1])})
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(cls, shingles) of each document that has shingles."""
     for batch in batches:
         sets = [x for x in _batch_sets(batch.column(0), size) if len(x)]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
         yield pa.RecordBatch.from_pydict({"cls": pa.array([_class_id(x) for x in sets], pa.int64()),
-                                          "shingles": T.list_array(pa.array(T.signed(flat)), bounds)})
+                                          "shingles": _lists(sets)})
 
 
 def _fits(a, b, percent: int):
@@ -254,8 +257,8 @@ def tree_pairs(rows: list[tuple], split: int, percent: int, k: int) -> list[tupl
     """Candidate pairs (cls, cls, cut) between different components of a bucket.
 
     rows: (cls, n, component, bitmap), sorted by n in rows[:split] and in rows[split:]; with
-    split = 0 all pairs inside, else all pairs across. For a class and another component the k
-    pairs of largest bound are given; cut says that there were more.
+    split = 0 all pairs inside, else all pairs across. Of a class the k pairs of largest bound are
+    given, the best one with each other component first; cut says that there were more.
     """
     m = _Members(rows)
     stack = ([(_tree(m, 0, split), _tree(m, split, len(rows)))] if split
@@ -272,11 +275,18 @@ def tree_pairs(rows: list[tuple], split: int, percent: int, k: int) -> list[tupl
         for i, j, bound in zip(*(v.tolist() for v in _leaf_pairs(m, a, b, percent))):
             # Kept for the member of the smaller component id's counterpart: one side is enough.
             x, y = (i, j) if m.comp[i] > m.comp[j] else (j, i)
-            found[(x, int(m.comp[y]))].append((bound, y))
+            found[x].append((-bound, y))
     out = []
-    for (x, _), partners in found.items():
-        partners.sort(key=lambda t: -t[0])
-        out += [(rows[x][0], rows[y][0], len(partners) > k) for _, y in partners[:k]]
+    for x, partners in found.items():
+        if len(partners) > k:
+            nth = defaultdict(int)
+            ranked = []
+            for bound, y in sorted(partners):
+                ranked.append((nth[int(m.comp[y])], bound, y))
+                nth[int(m.comp[y])] += 1
+            out += [(rows[x][0], rows[y][0], True) for _, _, y in sorted(ranked)[:k]]
+        else:
+            out += [(rows[x][0], rows[y][0], False) for _, y in partners]
     return out
 
 
@@ -317,12 +327,29 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def _shared(keys: DataFrame, percent: int, by: str = "cls") -> DataFrame:
-    """The rows (token, cls, n, ..) of keys held by several values of `by`, of classes with
-    enough of such keys."""
+def _held_by_several(keys: DataFrame, by: str) -> DataFrame:
+    """The distinct rows of keys held by several values of `by`, whatever the size of a bucket."""
     buckets = (keys.groupBy("token").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
                .filter("lo < hi").select("token"))
-    shared = keys.join(buckets, "token", "left_semi").distinct()
+    return keys.join(buckets, "token", "left_semi").distinct()
+
+
+def _rare_held_by_several(keys: DataFrame) -> DataFrame:
+    """The same for classes and keys outside the table of frequent ones, in one shuffle.
+
+    A bucket of these is small. Sorted by class, the last row of a class stays if another
+    class comes before or after; no row is buffered.
+    """
+    row = Window.partitionBy("token").orderBy("cls")
+    near = keys.withColumns({"_next": F.lead("cls").over(row),
+                             "_first": F.first("cls").over(row.rowsBetween(Window.unboundedPreceding, 0))})
+    last = F.col("_next").isNull() | (F.col("_next") != F.col("cls"))
+    other = F.col("_next").isNotNull() | (F.col("_first") != F.col("cls"))
+    return near.filter(last & other).drop("_next", "_first")
+
+
+def _shared(shared: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, cls, n, ..) of classes with enough keys; each key is held by several."""
     least = F.ceil(F.col("n") * percent / F.lit(100))  # the smallest partner
     enough = (shared.groupBy("cls").agg(F.count("*").alias("k"), F.min("n").alias("n"))
               .filter(F.col("k") >= _least_shared(least, percent)).select("cls"))
@@ -333,7 +360,8 @@ def _tree_tasks(live: DataFrame, comps: DataFrame, bits: DataFrame, percent: int
     """Members of buckets that hold several components, by block pair."""
     members = (live.join(comps.toDF("cls", "comp"), "cls", "left")
                .select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
-    members = materialise(_shared(members, percent, "comp"), "members")
+    members = materialise(_held_by_several(members, "comp"), "members")
+    members = materialise(_shared(members, percent), "members")
     # Buckets with the same members give the same pairs: one of them is enough.
     signed = members.groupBy("token").agg(
         F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"),
@@ -360,12 +388,14 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
     order = spark.sparkContext.broadcast(_Order(frequent_shingles(docs, "text", size)))
     sets = materialise(docs.mapInArrow(
         lambda it: _sets(it, size, percent, order.value),
-        "doc_id long, n long, cls long, prefix array<long>"), "sets")
-
-    tokens = sets.select("cls", "n", F.explode("prefix").alias("token"))
-    live = materialise(_shared(tokens, percent), "live")
-    let_go(spark)  # the shuffles of all keys are the largest ones
-    live = materialise(_shared(live, percent), "live")  # fewer classes, so fewer shared keys
+        "doc_id long, n long, cls long, rare array<long>, often array<long>"), "sets")
+
+    rare, often = (sets.select("cls", "n", F.explode(c).alias("token")) for c in ("rare", "often"))
+    shared = materialise(_rare_held_by_several(rare).unionByName(_held_by_several(often, "cls")), "shared")
+    let_go(spark)  # the shuffle of all keys is the largest one
+    live = materialise(_shared(shared, percent), "live")
+    # Fewer classes, so fewer shared keys.
+    live = materialise(_shared(materialise(_held_by_several(live, "cls"), "shared"), percent), "live")
     let_go(spark)
 
     leaders = live.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select(
@@ -402,14 +432,10 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
             .mapInArrow(lambda it, k=k: _walk(it, percent, k), "a long, b long, cut boolean"), "walked")
         new = materialise(_verified(walked.select("a", "b").distinct(), full, percent), "links")
         links = links.union(new)
-        found = new.limit(1).count()
-        if found:
-            comps = materialise(components(links.toDF("u", "v")), "components")
-        cut = walked.filter("cut").select("a", "b").distinct()
-        apart = (cut.join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
-                 .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-        if not apart.limit(1).count():
-            return sets.select("doc_id", "n", "cls"), comps
+        if new.limit(1).count():
+            comps = components(links.toDF("u", "v"))
+        if not walked.filter("cut").limit(1).count():
+            return sets.select("doc_id", "n", "cls"), materialise(comps, "components")
         k *= 8
 
 
