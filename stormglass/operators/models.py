@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -23,7 +23,7 @@ from .. import fixed
 from ..functions import (conform, lenient_double, numeric_columns, warning_active,
                          warning_level)
 from ..storage import literal_table
-from . import together
+from . import boosting, together
 
 COEF_SCHEMA = "feature string, median double, mean double, scale double, beta double"
 SEED = 42
@@ -215,19 +215,25 @@ def fit_forest(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET, t
     return TreeModel(scaler, _named(fit))
 
 
+@dataclass(frozen=True)
+class BoostedModel:
+    """Boosted trees with leaf penalties on imputed inputs."""
+
+    scaler: Scaler
+    cols: list[str]
+    trees: boosting.Boosted
+
+    def score(self, df: DataFrame, col: str = "probability") -> DataFrame:
+        inputs = [self.scaler.imputed(c) if c in self.scaler.median else F.lit(0.0) for c in self.cols]
+        return df.withColumn(col, 1 / (1 + F.exp(-self.trees.margin(inputs))))
+
+
 def fit_boosted(df: DataFrame, cols: Sequence[str], target: str = fixed.TARGET,
-                rounds: int = 350, rate: float = 0.03, depth: int = 3, min_leaf: int = 3,
-                share: float = 0.8, scaler: Scaler | None = None) -> TreeModel:
-    """Boosted trees; positives weigh negatives / positives. Spark has no leaf penalty."""
+                scaler: Scaler | None = None, **settings) -> BoostedModel:
+    """Boosted trees; positives weigh negatives / positives. `settings`: those of `boosting.Boosting`."""
     scaler = scaler or fit_scaler(df, cols)
-    neg, pos = class_balance(df, target)
-    weight = F.when(F.col(target) == 1, neg / pos if pos else 1.0).otherwise(1.0)
-    data = _assembled(df, {c: scaler.imputed(c) for c in scaler.features}, F.col(target), weight)
-    fit = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth,
-                        minInstancesPerNode=min_leaf, subsamplingRate=share,
-                        featureSubsetStrategy=str(share), seed=SEED,
-                        **CLASSIFIER_COLUMNS).fit(data)
-    return TreeModel(scaler, _named(fit))
+    ((model,),) = _all_boosted(together.training_sets(df, scaler.features, target), [scaler], [settings], [scaler.features])
+    return model
 
 
 @dataclass(frozen=True)
@@ -304,7 +310,12 @@ def _all_linear(sets, scalers, options, cols) -> list[list[LinearModel]]:
 
 
 # Fits whose training sets share their scans: (sets, scalers, options, columns) -> models by option and set.
-TOGETHER = {fit_logistic: _all_logistic, fit_scorecard: _all_scorecards, fit_linear: _all_linear}
+def _all_boosted(sets, scalers, options, cols) -> list[list[BoostedModel]]:
+    fitted = [boosting.fit_all(sets, [s.median for s in scalers], boosting.Boosting(**o), use) for o, use in zip(options, cols)]
+    return [[BoostedModel(s, list(sets.cols), trees) for s, trees in zip(scalers, row)] for row in fitted]
+
+
+TOGETHER = {fit_logistic: _all_logistic, fit_scorecard: _all_scorecards, fit_linear: _all_linear, fit_boosted: _all_boosted}
 
 
 # --- scoring the latest rows ---------------------------------------------------

@@ -39,6 +39,12 @@ def task_sums(df: DataFrame, work: Callable[[np.ndarray], np.ndarray], size: int
                 total += work(np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1))
         yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
 
+    numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(names)])
+    return add_up(numbers.mapInArrow(scan, "v binary"), size)
+
+
+def add_up(found: DataFrame, size: int, parts: int | None = None) -> np.ndarray:
+    """The sum of rows of `size` doubles (column `v`, binary), added in rounds of fixed fan-in. parts: its partitions, if known."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
@@ -46,9 +52,7 @@ def task_sums(df: DataFrame, work: Callable[[np.ndarray], np.ndarray], size: int
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
 
-    numbers = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(names)])
-    found = numbers.mapInArrow(scan, "v binary")
-    parts = found.rdd.getNumPartitions()
+    parts = parts or found.rdd.getNumPartitions()
     while parts > FAN_IN:
         parts = math.ceil(parts / FAN_IN)
         found = found.repartition(parts).mapInArrow(add, "v binary")
