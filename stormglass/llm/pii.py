@@ -9,14 +9,17 @@ different, and the result passes the same check:
 * dates (ISO, or day and month in either order with a four-digit year, 1800 to 2199): the
   day number is permuted among the 146,097 days of the 400 years;
 * IPv4 addresses: permuted among all addresses;
-* phone numbers (8 to 15 digits; a country code after + stays), social security numbers;
+* social security numbers: the area permuted among the 898 assigned ones and the rest among the
+  989,901 pairs of a group and a serial number that are not zero, so the result is valid too;
+* phone numbers (8 to 15 digits; a country code after + stays);
 * the local part of mail addresses, access keys, and values after `password=` and the like, with
   or without blanks round the sign; quotes at the ends of a value stay: permuted character by
   character inside the classes 0-9, A-Z and a-z.
 
 The permutations are Feistel networks of eight rounds with SHA-2 of key, kind, round and the
 other half as round function. Strings are cut in two halves whose characters are shifted inside
-their class; dates and addresses are two numbers that are shifted modulo their ranges.
+their class; dates, addresses and social security numbers are two numbers that are shifted modulo
+their ranges, so no cycle has to be walked to stay inside.
 
 Defined cases: a null text stays null and has no finds; an empty text stays empty. A match that
 fails its check stays as it is. Other columns pass through; rows are handled one by one.
@@ -51,6 +54,7 @@ KINDS = (("email", EMAIL), ("secret", SECRET), ("access_key", ACCESS_KEY), ("ip"
          ("date", DATE), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
 
 _DAYS, _DAY_HALVES = 146_097, (189, 773)  # 189 * 773 = 146,097
+_SSN_HALVES = (898, 99 * 9_999)  # areas 001 to 899 without 666; groups 01 to 99 with serials 0001 to 9999
 
 
 def _number(hex_text: Column) -> Column:
@@ -143,6 +147,18 @@ def _ip(m: Column, key: str) -> Column:
         F.floor(out / F.pow(F.lit(256), k)), F.lit(256)).cast("bigint").cast("string")), ".")
 
 
+def _ssn(m: Column, key: str) -> Column:
+    area, group, serial = (F.substring(m, at, size).cast("bigint") for at, size in ((1, 3), (5, 2), (8, 4)))
+    rest = _SSN_HALVES[1]
+    x = (area - F.when(area > 666, 2).otherwise(1)) * rest + (group - 1) * 9_999 + serial - 1
+    def text(y: Column) -> Column:
+        a, r = F.floor(y / rest).cast("bigint") + 1, F.pmod(y, F.lit(rest))
+        return F.format_string("%03d-%02d-%04d", a + F.when(a > 665, 1).otherwise(0),
+                               F.floor(r / 9_999).cast("bigint") + 1, F.pmod(r, F.lit(9_999)) + 1)
+    # Through an array of one element, so that the permutation is worked out once.
+    return F.transform(F.array(permute_number(x, _SSN_HALVES, key, "ssn")), text)[0]
+
+
 def _read_date(m: Column, form: str) -> Column:
     d = F.try_to_date(m, form)
     return F.when(F.year(d).between(1800, 2199), d)
@@ -197,7 +213,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
             .when(kind == "access_key", F.concat(F.substring(m, 1, 4), permute_text(tail(F.lit(4)), key, "access_key")))
             .when(kind == "ip", _ip(m, key))
             .when(kind == "date", _date(m, key))
-            .when(kind == "ssn", permute_text(m, key, "ssn"))
+            .when(kind == "ssn", _ssn(m, key))
             .when(kind == "card", _card(m, key))
             .when(kind == "phone", _phone(m, key))
             .otherwise(m))
