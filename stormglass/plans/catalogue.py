@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import macro, panel, results, scorecards, scoring, shared_fits
+from . import landed, macro, panel, results, scorecards, scoring, shared_fits
 from .spec import Query
 
 
 def all_queries() -> dict[str, Query]:
-    found = [q for part in (macro, panel, scoring, results, scorecards, shared_fits) for q in part.queries()]
+    found = [q for part in (macro, panel, scoring, results, scorecards, shared_fits, landed) for q in part.queries()]
     names = [q.name for q in found]
     if len(set(names)) != len(names):
         raise ValueError("two queries share a name")

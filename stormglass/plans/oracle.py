@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed
-from ..sources.tables import INDICATORS, YEARS
+from ..sources.tables import INDICATORS
 
 
 def _cases(cond: str) -> str:
@@ -204,7 +204,8 @@ def panel() -> str:
     return f"""{indicator_long()},
 grid AS (
   SELECT {nation_code("n_nationkey")} AS country_code, n_name AS country, y.year
-  FROM nation CROSS JOIN (SELECT unnest(generate_series({YEARS[0]}, {YEARS[1]})) AS year) AS y),
+  FROM nation CROSS JOIN (
+    SELECT unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)))) AS year FROM orders) AS y),
 cells AS (SELECT country_code, year, {picks} FROM indicator_long GROUP BY country_code, year),
 panel AS (SELECT grid.*, {', '.join('cells.' + n for n in INDICATORS.values())}
           FROM grid LEFT JOIN cells USING (country_code, year))"""

@@ -11,7 +11,7 @@ from ..operators.ranking import exact_medians
 from ..operators.models import fit_scaler
 from ..sources import (explode_envelopes, indicator_long, read_envelopes, validate_envelopes,
                        write_table)
-from ..sources.tables import INDICATORS, YEARS, nation_countries
+from ..sources.tables import INDICATORS, nation_countries, panel_years
 from ..storage import literal_table, materialise, scratch_path
 from . import chain, oracle
 from .spec import Query, rounded, rounded_sql
@@ -29,7 +29,7 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
 def full_panel(t):
-    return reshape.country_year_panel(indicator_long(t), nation_countries(t), YEARS,
+    return reshape.country_year_panel(indicator_long(t), nation_countries(t), panel_years(t),
                                       tuple(INDICATORS.values()))
 
 
@@ -214,7 +214,7 @@ def queries() -> list[Query]:
               """SELECT c_custkey, n_name AS country FROM customer
                  LEFT JOIN nation ON c_nationkey = n_nationkey"""),
         Query("j4_code_year_spine",
-              lambda s, t: reshape.code_year_spine(nation_countries(t), YEARS),
+              lambda s, t: reshape.code_year_spine(nation_countries(t), panel_years(t)),
               {"country_code": "s", "country": "s", "year": "i"}, "SELECT * FROM grid", o.panel()),
         Query("a4_pivot_first",
               lambda s, t: reshape.pivot_indicators(

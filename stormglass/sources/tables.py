@@ -89,7 +89,14 @@ INDICATORS = {
     "ORD.TOP": "top_sales_millions",
     "ORD.NONE": "returns_value",
 }
-YEARS = (1995, 2003)
+
+
+def panel_years(tables: dict[str, DataFrame]) -> tuple[int, int]:
+    """First and last year of an order; without orders there is no panel."""
+    dates = tables["orders"].agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")).first()
+    if dates["first"] is None:
+        raise ValueError("there are no orders to take the years from")
+    return dates["first"].year, dates["last"].year
 
 
 def indicator_long(tables: dict[str, DataFrame]) -> DataFrame:
