@@ -1,27 +1,29 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is the sequence of its lower-cased words and an end. The model learns from the training
-documents (a fold of their ids) in three parts:
-
-* *Spelling.* The bits of a word's bytes (closed by a blank) are predicted in contexts of the
-  last 0 to 4 bytes of the word, hashed to count tables of fixed size. Stretched predictions are
-  mixed by weights that a gate selects (bit position and the longest context seen before). The weights
-  are learned online, one small batch after the other, in the order of the word hashes; a
-  training word is predicted without its own counts. Each task learns on its share of the words
-  and the weights are averaged. An adaptive probability map per partial byte then refines the
-  mixed prediction.
-* *Words.* Counts of all training words, per class of document (a hash of the language column).
-  A word has probability (1 - e) * ((1 - b) * c_k / N_k + b * c / N) + e * spelling in class k, with e the
-  share of words seen once. The class of a text is not given to the model: the text's
-  probability is the sum over classes, so the class weights follow the words read so far.
-* *Copies.* If the last two words stood in the text before, the word that followed them is
-  guessed. The hit bit is predicted by a gate (recent hits and misses) with counts from the
-  training texts; after a miss the word is coded as above.
-
-The vocabulary grows with the corpus and is never sent to the driver or broadcast: texts are
-written in chunks (the partitions of the scan), each chunk's distinct words are joined with the
-vocabulary, and the task of a chunk reads the chunk's own part of the result. What goes to all tasks has
-a fixed size: spelling tables (11 MB), weights, map, gate counts, class totals.
+A text is the sequence of its lower-cased words and an end, and the model predicts the bits of that whole token
+sequence. A token is coded by a bit that tells whether it is known (stands in a training text) and then
+
+* *known:* 16 bits (the class it is most used in, and 12 bits of its hash), and last the word among the training words
+  with the same bits by its count;
+* *unknown:* the bits of its bytes and a closing blank.
+
+Each of the 17 bits is predicted in four contexts that reach over word borders: none, the likeliest class of the text
+by the words before, the last word, the last two words (the latter two hashed to tables of fixed size). If the last
+two words stood in the text before, the word that followed them gives a fifth prediction, of each bit
+as long as the bits agree with it. Stretched predictions are mixed by weights that a gate selects (place of the bit,
+longest context seen, state of the copy), and an adaptive probability map refines the mixed prediction. The bytes
+of unknown words are predicted in contexts of the last 0 to 4 bytes in the same way. The word bits with no context are
+the counts of all training words, so nothing of the vocabulary is lost to collisions.
+
+Learning takes two scans of the training texts. The first counts the bits in all contexts. The second learns the
+weights online, one small batch after the other through all texts of a task; tasks are averaged by their tokens. A
+bit is predicted there without its own count, and a word is known if it stands in another training text.
+
+The classes are a hash of the language column of training texts; the column is never an input of a score.
+The vocabulary grows with the corpus and is never sent to the driver or broadcast: texts are written in chunks (the
+partitions of the scan), the counts of each chunk's distinct words are summed by word and sent back to the chunk, whose
+task reads its own part. What goes to all tasks and to the driver has a fixed size: 2.2 million counts of word
+bits, 1.4 million of bytes, weights and maps. Tables of tasks are added by Spark, in segments.
 
 Defined cases: a null or empty text is the end alone. A null id is in the training part. Repeated
 rows count and are scored each. Without training words the base score is that of an empty model.
@@ -36,7 +38,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import scratch_path
@@ -44,12 +47,13 @@ from . import text as T
 from .files import file_system
 
 CLASSES = 16
+CODE, CLASS_BITS = 16, 4   # bits of a known token; of them for its class
+LINE_BITS = 15            # a hashed context has 2 ** 15 lines of 16 slots, one line for four bits
 ORDERS = ((0, 8), (1, 16), (2, 18), (3, 19), (4, 19))  # bytes of context, bits of the table
 SEGMENTS = 64
 BATCH, RATE, SHARE_OTHER = 2_048, 0.02, 0.05
 GATES, BUCKETS = 40, 33
 HISTORY = 16
-WORDS_PER_TASK = 500_000
 HELD_WORDS = 800_000      # distinct words of slices kept before a chunk's part is written
 PIECE_BYTES, SLICE_BYTES = 4_096, 1 << 16  # spelling: longest piece of a word, bytes at a time
 END = b"\n"
@@ -69,16 +73,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def guesses(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gate, hit) of each token: gate -1 where nothing is guessed.
+    """(gate, then) of each token: the place of the guessed token, gate 0 where nothing is guessed.
 
     The gate holds the last results of guessing in the text as a binary number with a leading 1.
     """
     n = len(h)
-    gate, hit = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=bool)
+    gate, guess = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     row = T.row_of(bounds)
     at = np.flatnonzero(row[2:] == row[:-2]) + 2 if n > 2 else np.zeros(0, np.int64)
     if not len(at):
-        return gate, hit
+        return gate, guess
     key = T.mix(h[at - 2] * np.uint64(3) + h[at - 1]) ^ T.mix(row[at].astype(np.uint64) + np.uint64(1))
     order = np.lexsort((at, key))
     k, p = key[order], at[order]
@@ -86,9 +90,9 @@ def guesses(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     now, then = p[1:][same], p[:-1][same]
     sort = np.argsort(now)
     now, then = now[sort], then[sort]
-    hit[now] = h[now] == h[then]
+    guess[now] = then
     state = np.ones(len(now), dtype=np.int64)  # results of the last three guesses of the text
-    r, ok = row[now], hit[now].astype(np.int64)
+    r, ok = row[now], (h[now] == h[then]).astype(np.int64)
     for back in (3, 2, 1):
         have = np.zeros(len(now), dtype=bool)
         have[back:] = r[back:] == r[:-back]
@@ -96,22 +100,35 @@ def guesses(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last[back:] = ok[:-back]
         state = np.where(have, state * 2 + last, state)
     gate[now] = np.minimum(state, HISTORY - 1)
-    return gate, hit
+    return gate, guess
+
+
+def _code(h: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
+    """The first bits of the hash, after those of the class if given."""
+    if cls is None:
+        return (h >> np.uint64(64 - CODE)).astype(np.int64)
+    return (h >> np.uint64(64 - CODE + CLASS_BITS)).astype(np.int64) | cls.astype(np.int64) << (CODE - CLASS_BITS)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a chunk with their training counts by class; and gate counts.
+    """Distinct words of a chunk with their training counts and main class; and training tokens by hash and class.
 
-    Rows: chunk, h, cls, n, word. A row without chunk counts guesses: h = 2 * gate + hit.
+    Rows: chunk, h, n, cls. A row without chunk has a segment of the second table.
     """
     parts: list[tuple] = []
-    guessed = np.zeros(2 * HISTORY, dtype=np.int64)
+    classes = np.zeros((1 << CODE, CLASSES), dtype=np.int32)
     chunk = None
 
     def close() -> Iterator[pa.RecordBatch]:
         if parts:
-            yield from _merged(parts, chunk)
+            h, n, cls = _merged(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
             parts.clear()
+            for a in range(0, len(h), 100_000):
+                part = T.signed(h[a:a + 100_000])
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([chunk] * len(part), pa.int64()), "h": pa.array(part, pa.int64()),
+                    "n": pa.array(n[a:a + 100_000], pa.int64()), "cls": pa.array(cls[a:a + 100_000], pa.int32()),
+                    "counts": pa.nulls(len(part), pa.binary())})
 
     for batch in batches:
         if not batch.num_rows:
@@ -122,15 +139,29 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if chunks[lo + a] != chunk:
                     yield from close()
                     chunk = int(chunks[lo + a])
-                own = offsets[a:b + 1] - offsets[a]
-                cls = batch.column("cls").slice(lo + a, b - a).to_numpy()
-                held = batch.column("held_out").slice(lo + a, b - a).to_numpy(zero_copy_only=False)
-                parts.append(_slice_words(data[offsets[a]:offsets[b]], own, cls, held, guessed))
+                h, _, _, bounds = tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                row = T.row_of(bounds)
+                train = ~batch.column("held_out").slice(lo + a, b - a).to_numpy(zero_copy_only=False)[row]
+                cls = batch.column("cls").slice(lo + a, b - a).to_numpy()[row]
+                np.add.at(classes, (_code(h[train]), cls[train]), 1)
+                parts.append(_merged(h, train.astype(np.int64), cls))
                 if sum(len(p[0]) for p in parts) > HELD_WORDS:
                     yield from close()
     yield from close()
-    used = np.flatnonzero(guessed)
-    yield _word_batch(None, used, np.zeros(len(used), np.int64), guessed[used], [None] * len(used))
+    for i, counts in _segments(classes):
+        yield pa.RecordBatch.from_pydict({"chunk": pa.nulls(1, pa.int64()), "h": pa.array([i], pa.int64()),
+                                          "n": pa.nulls(1, pa.int64()), "cls": pa.nulls(1, pa.int32()), "counts": [counts]})
+
+
+def _merged(h: np.ndarray, n: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, with the sum of n and the class that has most of it."""
+    _, first, inverse = np.unique(T.mix(h + cls.astype(np.uint64)), return_index=True, return_inverse=True)
+    h, cls = h[first], cls[first]
+    n = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
+    order = np.lexsort((cls, n, h))
+    h, n, cls = h[order], n[order], cls[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[start], np.add.reduceat(n, start), cls[np.append(start[1:], len(h)) - 1]
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -138,43 +169,34 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *at.tolist()], [*at.tolist(), len(values)]))
 
 
-def _slice_words(data, offsets, cls, held, guessed) -> tuple:
-    h, starts, ends, bounds = tokens(data, offsets)
-    row = T.row_of(bounds)
-    train = ~held[row]
-    gate, hit = guesses(h, bounds)
-    use = train & (gate >= 0)
-    guessed += np.bincount(2 * gate[use] + hit[use], minlength=2 * HISTORY)
-    low = T.LOWER[data]
-    # Where a word's bytes are: end tokens have none.
-    place = np.full(len(h), -1, dtype=np.int64)
-    is_word = np.ones(len(h), dtype=bool)
-    is_word[bounds[1:] - 1] = False
-    place[is_word] = np.arange(len(starts))
-    key = T.mix(h + cls[row].astype(np.uint64))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=train, minlength=len(first)).astype(np.int64)
-    raw, begin, stop = low.tobytes(), np.append(starts, 0), np.append(ends, 0)
-    p = place[first]
-    words = [END if q < 0 else raw[s:e] for q, s, e in zip(p.tolist(), begin[p].tolist(), stop[p].tolist())]
-    return h[first], cls[row][first].astype(np.int64), n, words
+# Tables of tasks, added in segments
+
+def _segments(values: np.ndarray) -> list[tuple[int, bytes]]:
+    return [(i, part.tobytes()) for i, part in enumerate(np.array_split(values.ravel(), SEGMENTS))]
+
+
+def _segment_rows(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    for i, part in _segments(values):
+        yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int64()), "task": pa.array([task], pa.int64()),
+                                          "counts": [part]})
 
 
-def _merged(parts: list[tuple], chunk: int) -> Iterator[pa.RecordBatch]:
-    h, cls, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    words = [w for p in parts for w in p[3]]
-    key = T.mix(h + cls.astype(np.uint64))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
-    for a in range(0, len(first), 100_000):
-        f = first[a:a + 100_000]
-        yield _word_batch(chunk, T.signed(h[f]), cls[f], total[a:a + 100_000], [words[i] for i in f.tolist()])
+def _added(parts: DataFrame, size: int, kind: type) -> np.ndarray:
+    """The sum of the tables in rows (segment, task, counts)."""
+    sums = np.float64 if np.issubdtype(kind, np.floating) else np.int64
+    narrow = np.float64 if np.issubdtype(kind, np.floating) else np.float32
 
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for part in table.sort_by("task").column("counts"):
+            total = total + np.frombuffer(part.as_buffer(), dtype=kind).astype(sums)
+        return pa.table({"segment": table.column("segment").slice(0, 1), "counts": [total.astype(narrow).tobytes()]})
 
-def _word_batch(chunk, h, cls, n, words) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "chunk": pa.array([chunk] * len(h), pa.int64()), "h": pa.array(h, pa.int64()),
-        "cls": pa.array(cls, pa.int32()), "n": pa.array(n, pa.int64()), "word": pa.array(words, pa.binary())})
+    out, places = np.zeros(size, dtype=narrow), np.array_split(np.arange(size), SEGMENTS)
+    for r in parts.groupBy("segment").applyInArrow(add, "segment long, counts binary").toLocalIterator():
+        out[places[r[0]]] = np.frombuffer(r[1], dtype=narrow)
+    return out
 
 
 # Spelling
@@ -225,21 +247,12 @@ def _bits(words: list[bytes]):
     return np.stack(slots), bit.ravel(), bounds * 8, node.ravel()
 
 
-def _count_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each slot saw a 0 and a 1, over the words of a task, cut into segments."""
-    counts = np.zeros((2, SLOTS), dtype=np.int64)
-    for batch in batches:
-        for group in _groups(_pieces(batch.column("word").to_pylist()), 4 * BATCH):
-            slots, bit, _, _ = _bits(group)
-            for value in (0, 1):
-                counts[value] += np.bincount(slots[:, bit == value].ravel(), minlength=SLOTS)
-    for i, part in enumerate(np.array_split(counts, SEGMENTS, axis=1)):
-        yield pa.RecordBatch.from_pydict({"segment": [i], "counts": [part.tobytes()]})
-
-
-def _add_tables(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, dtype=np.int64) for c in table.column("counts").to_pylist())
-    return pa.table({"segment": table.column("segment").slice(0, 1), "counts": [total.tobytes()]})
+def _count_bytes(words: list[bytes], counts: np.ndarray) -> None:
+    """Add to `counts` (2 x slots) how often each slot saw a 0 and a 1."""
+    for group in _groups(_pieces(words), 4 * BATCH):
+        slots, bit, _, _ = _bits(group)
+        for value in (0, 1):
+            counts[value] += np.bincount(slots[:, bit == value].ravel(), minlength=SLOTS).astype(counts.dtype)
 
 
 def _stretch(p: np.ndarray) -> np.ndarray:
@@ -279,9 +292,9 @@ class Speller:
         low = at.astype(np.int64)
         return low, at - low
 
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Online pass: mixing weights, and counts (ones, all) of the map's buckets."""
-        w = np.full((GATES, len(ORDERS) + 1), 0.3)
+    def learn(self, words: list[bytes], w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Online pass: mixing weights (given ones go on), and counts (ones, all) of the map's buckets."""
+        w = np.full((GATES, len(ORDERS) + 1), 0.3) if w is None else w
         seen = np.zeros((2, 256 * BUCKETS))
         for group in _groups(_pieces(words)):
             slots, bit, _, node = _bits(group)
@@ -326,72 +339,295 @@ class Speller:
 
 
 def _map_of(seen: np.ndarray) -> np.ndarray:
-    centre = _squash(np.tile(np.linspace(-8, 8, BUCKETS), 256))
+    centre = _squash(np.tile(np.linspace(-8, 8, BUCKETS), len(seen[0]) // BUCKETS))
     return (seen[0] + 4 * centre) / (seen[1] + 4)
 
 
-def _learn(batches: Iterator[pa.RecordBatch], speller: Speller) -> Iterator[pa.RecordBatch]:
-    words, total = 0, [np.zeros((GATES, len(ORDERS) + 1)), np.zeros((2, 256 * BUCKETS))]
-    for batch in batches:
-        own = batch.column("word").to_pylist()
-        if own:
-            w, seen = speller.learn(own)
-            total = [total[0] + len(own) * w, total[1] + seen]
-            words += len(own)
-    yield pa.RecordBatch.from_pydict({"words": pa.array([words], pa.int64()), "weights": [total[0].tobytes()],
-                                      "seen": [total[1].tobytes()]})
+# Bits of the token sequence
+
+DEPTH = CODE + 1
+LINES = 16 << LINE_BITS
+_SIZES = (1 << CODE, CLASSES << CODE, LINES, LINES)
+_PLACE = np.cumsum([0, *_SIZES])
+TOKEN_SLOTS = int(_PLACE[-1])
+INPUTS = len(_SIZES) + 2          # contexts, copy, bias
+COPY_STATES = 3                   # no guess, one after a miss or the first, one after a hit
+TOKEN_GATES = DEPTH * 3 * COPY_STATES
+MAP_ROWS = DEPTH * COPY_STATES
+TOKENS, STEP = 2_048, 0.1         # of a learning step: tokens, part of the way
+
+
+@dataclass
+class Slice:
+    """Token sequences of some texts, with what a prediction may know."""
+
+    h: np.ndarray
+    bounds: np.ndarray
+    code: np.ndarray
+    c: np.ndarray        # training count
+    known: np.ndarray
+    contexts: list[np.ndarray]
+    gate: np.ndarray     # of the copy, 0 without a guess
+    hit: np.ndarray
+    guess: np.ndarray    # the place of the guessed token
+    spelled: tuple[np.ndarray, np.ndarray, bytes]
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        starts, ends, raw = self.spelled
+        return [END if e < 0 else raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+
+
+def _slice(data: np.ndarray, offsets: np.ndarray, words: "_Dictionary", classes: np.ndarray, other_texts: bool) -> Slice:
+    """With `other_texts`, a word is known if another text of the training part has it."""
+    h, starts, ends, bounds = tokens(data, offsets)
+    row = T.row_of(bounds)
+    at = np.searchsorted(words.h, h)
+    c = words.c[at]
+    known = c > 0
+    if other_texts:
+        key = T.mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
+        known = c > own[inverse]
+    first = np.zeros(len(h), dtype=bool)
+    first[bounds[:-1]] = True
+    last = np.concatenate([[np.uint64(0)], h[:-1]])
+    last[first] = 0
+    before = np.concatenate([[np.uint64(0)], last[:-1]])
+    before[first] = 0
+    # The likeliest class by the words before, in each text.
+    sums = np.zeros((len(h) + 1, classes.shape[1]))
+    np.cumsum(classes[_code(h)], axis=0, out=sums[1:])
+    cls = (sums[:-1] - sums[bounds[:-1]][row]).argmax(axis=1)
+    gate, guess = guesses(h, bounds)
+    place = np.full((2, len(h)), -1, dtype=np.int64)
+    is_word = np.ones(len(h), dtype=bool)
+    is_word[bounds[1:] - 1] = False
+    place[0, is_word], place[1, is_word] = starts, ends
+    return Slice(h, bounds, _code(h, words.cls[at]), c, known, [cls, T.mix(last + np.uint64(1)), T.mix(before * np.uint64(3) + last)], gate,
+                 (gate > 0) & (h == h[guess]), guess, (place[0], place[1], T.LOWER[data].tobytes()))
+
+
+def _code_bits(known: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.concatenate([known[:, None], (code[:, None] >> np.arange(CODE - 1, -1, -1)) & 1], axis=1).astype(np.int8)
+
+
+def _token_bits(s: Slice, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, bits) of some tokens: contexts x tokens x depth, tokens x depth."""
+    code = s.code[part][:, None]
+    j = np.arange(CODE)
+    node = np.zeros((len(code), DEPTH), dtype=np.int64)
+    node[:, 1:] = (1 << j) | (code >> (CODE - j))
+    bit = _code_bits(s.known[part], s.code[part])
+    slots = np.empty((len(_SIZES), *node.shape), dtype=np.int64)
+    slots[0] = node
+    slots[1] = node + (_PLACE[1] + (s.contexts[0][part] << CODE))[:, None]
+    inner = np.zeros_like(node)
+    inner[:, 1:] = (1 << (j & 3)) | ((code >> (CODE - j)) & ((1 << (j & 3)) - 1))
+    stem = node[:, 1::4].astype(np.uint64)  # the bits before a line
+    for k in (2, 3):
+        line = T.mix(s.contexts[k - 1][part][:, None] + stem * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - LINE_BITS)
+        slots[k, :, 1:] = np.repeat((line.astype(np.int64) << 4) + _PLACE[k], 4, axis=1)
+        slots[k, :, 0] = slots[k, :, 1]
+        slots[k] += inner
+    return slots, bit
+
 
+@dataclass
+class Mixer:
+    """The model of the token bits, and the speller of unknown words."""
+
+    counts: np.ndarray               # by slot: zeros + ones * 1j
+    classes: np.ndarray              # codes x classes: log of the share
+    copied: np.ndarray               # by copy gate: share of hits; among equal codes; among unknown words
+    speller: Speller
+    weights: np.ndarray | None = None
+    map: np.ndarray | None = None
+
+    def inputs(self, s: Slice, part: slice, own: bool):
+        """(stretched predictions, gate, map row, bits, counts of the code) of the bits of some tokens.
 
-def _spell(batches: Iterator[pa.RecordBatch], speller: Speller) -> Iterator[pa.RecordBatch]:
+        With `own`, a bit's own count is left out.
+        """
+        slots, bit = _token_bits(s, part)
+        n = self.counts[slots]
+        zero, one = n.real, n.imag
+        words = one[0, :, -1] * bit[:, -1] + zero[0, :, -1] * (1 - bit[:, -1])
+        if own:
+            zero, one = np.maximum(zero - (1 - bit), 0), np.maximum(one - bit, 0)
+        x = np.zeros((INPUTS, *bit.shape), dtype=np.float32)
+        x[:len(_SIZES)] = np.log((one + np.float32(0.2)) / (zero + np.float32(0.2)))
+        gate, then = s.gate[part], s.guess[part]
+        at = np.flatnonzero(gate)
+        state = np.zeros(bit.shape, dtype=np.int64)
+        if len(at):
+            expected = _code_bits(s.known[then[at]], s.code[then[at]])
+            agree = np.ones(expected.shape, dtype=bool)
+            agree[:, 1:] = np.logical_and.accumulate(expected == bit[at], axis=1)[:, :-1]
+            rate = _stretch(self.copied[0][gate[at]])[:, None]
+            x[-2, at] = np.where(agree, np.where(expected == 1, rate, -rate), 0)
+            state[at] = np.where(agree, 1 + ((gate[at] > 1) & (gate[at] % 2 == 1))[:, None], 0)
+        x[-1] = 0.3
+        seen = (zero[2] + one[2] > 0).astype(np.int64) + (zero[3] + one[3] > 0)
+        row = np.arange(DEPTH) * COPY_STATES + state
+        return x, row * 3 + seen, row, bit, words
+
+    def learn(self, s: Slice, w: np.ndarray, seen: np.ndarray) -> None:
+        """Online pass: changes mixing weights and counts (ones, all) of the map's buckets."""
+        for a in range(0, len(s.h), TOKENS):
+            part = slice(a, a + TOKENS)
+            x, gate, row, bit, _ = self.inputs(s, part, True)
+            used = np.ones(bit.shape, dtype=bool)
+            used[:, 1:] = s.known[part][:, None]
+            x, gate, row, bit = x[:, used], gate[used], row[used], bit[used]
+            mixed = (w[gate].T * x).sum(axis=0)
+            p = _squash(mixed)
+            error, spread = bit - p, p * (1 - p)
+            for i in range(INPUTS):
+                step = np.bincount(gate, weights=error * x[i], minlength=TOKEN_GATES)
+                w[:, i] += STEP * step / (1 + np.bincount(gate, weights=spread * x[i] * x[i], minlength=TOKEN_GATES))
+            low, share = Speller.bucket(mixed)
+            for at, part_of in ((low, 1 - share), (low + 1, share)):
+                cell = row * BUCKETS + at
+                seen[0] += np.bincount(cell, weights=part_of * bit, minlength=len(seen[0]))
+                seen[1] += np.bincount(cell, weights=part_of, minlength=len(seen[1]))
+
+    def log10(self, s: Slice) -> np.ndarray:
+        """The logarithm of the probability of each token."""
+        out = np.empty(len(s.h))
+        for a in range(0, len(out), TOKENS):
+            part = slice(a, a + TOKENS)
+            x, gate, row, bit, words = self.inputs(s, part, False)
+            mixed = np.einsum("tdi,itd->td", self.weights[gate], x)
+            low, share = Speller.bucket(mixed)
+            at = row * BUCKETS + low
+            p = (_squash(mixed) + self.map[at] * (1 - share) + self.map[at + 1] * share) / 2
+            p = np.clip(p, 1e-6, 1 - 1e-6)
+            logs = np.log10(np.where(bit == 1, p, 1 - p))
+            known = s.known[part]
+            out[part] = logs[:, 0] + np.where(known, logs[:, 1:].sum(axis=1), 0)
+            out[part][known] += np.log10(self._last(s, part, s.c[part] / np.maximum(words, 1), True)[known])
+        new = np.flatnonzero(~s.known)
+        if len(new):
+            _, first, inverse = np.unique(s.h[new], return_index=True, return_inverse=True)
+            spelled = np.concatenate([self.speller.log10(g) for g in _groups(s.words(new[first]))])
+            left = np.zeros(len(out))
+            left[new] = 10.0 ** spelled[inverse]
+            out[new] += np.log10(self._last(s, slice(None), left, False)[new] + 1e-300)
+        return out
+
+    def _last(self, s: Slice, part: slice, plain: np.ndarray, known: bool) -> np.ndarray:
+        """The probability of the word after its bits, where a guess may agree with all bits."""
+        agreed = _agreed(s, part, known)
+        rate = np.where(agreed, self.copied[1 if known else 2][s.gate[part]], 0)
+        return rate * s.hit[part] + (1 - rate) * plain
+
+
+def _agreed(s: Slice, part: slice, known: bool) -> np.ndarray:
+    """Whether a guess is right in all bits of a known (or unknown) token."""
+    then = s.guess[part]
+    both = (s.gate[part] > 0) & (s.known[then] == known) & (s.known[part] == known)
+    return both & (s.code[then] == s.code[part]) if known else both
+
+
+def _texts(batches: Iterator[pa.RecordBatch], folder: str, classes: np.ndarray, other_texts: bool
+           ) -> Iterator[tuple[pa.RecordBatch, slice, Slice, np.ndarray]]:
+    words, chunk = None, None
     for batch in batches:
-        out = [speller.log10(group) for group in _groups(batch.column("word").to_pylist())]
-        yield pa.RecordBatch.from_pydict({
-            "h": batch.column("h"), "c": batch.column("c"), "by_class": batch.column("by_class"),
-            "spelled": pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())})
+        if not batch.num_rows:
+            continue
+        chunks = batch.column("chunk").to_numpy()
+        for lo, hi, data, offsets in T.text_slices(batch.column("text")):
+            for a, b in _runs(chunks[lo:hi]):
+                if chunks[lo + a] != chunk:
+                    chunk = int(chunks[lo + a])
+                    words = _Dictionary(folder, chunk)
+                own = offsets[a:b + 1] - offsets[a]
+                yield (batch, slice(lo + a, lo + b),
+                       _slice(data[offsets[a]:offsets[b]], own, words, classes, other_texts), own)
+
+
+def _new_words(s: Slice) -> list[bytes]:
+    """Unknown words, once for each word, in the order of their hashes."""
+    new = np.flatnonzero(~s.known)
+    return s.words(new[np.unique(s.h[new], return_index=True)[1]])
+
+
+_COUNTED = 2 * TOKEN_SLOTS + 2 * SLOTS + 6 * HISTORY
+
+
+def _count(batches: Iterator[pa.RecordBatch], folder: str, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often each slot saw a 0 and a 1, and guesses and hits by gate: of all, with equal codes, of unknown words."""
+    all_ = np.zeros(_COUNTED, dtype=np.int32)
+    bits, spelled, copied = np.split(all_, [2 * TOKEN_SLOTS, 2 * (TOKEN_SLOTS + SLOTS)])
+    spelled, copied = spelled.reshape(2, SLOTS), copied.reshape(6, HISTORY)
+    words: list[bytes] = []
+    for _, _, s, _ in _texts(batches, folder, classes, True):
+        for a in range(0, len(s.h), 16 * TOKENS):
+            slots, bit = _token_bits(s, slice(a, a + 16 * TOKENS))
+            for k, size in enumerate(_SIZES):
+                lo = 2 * _PLACE[k]
+                bits[lo:lo + 2 * size] += np.bincount((2 * slots[k] + bit).ravel() - lo, minlength=2 * size).astype(np.int32)
+        use = s.gate > 0
+        for i, among in enumerate((use, _agreed(s, slice(None), True), _agreed(s, slice(None), False))):
+            copied[2 * i] += np.bincount(s.gate[among], minlength=HISTORY).astype(np.int32)
+            copied[2 * i + 1] += np.bincount(s.gate[among & s.hit], minlength=HISTORY).astype(np.int32)
+        words += _new_words(s)
+        if len(words) > 4 * BATCH:
+            _count_bytes(words, spelled)
+            words.clear()
+    _count_bytes(words, spelled)
+    yield from _segment_rows(all_)
+
+
+_LEARNED = (TOKEN_GATES * INPUTS, 2 * MAP_ROWS * BUCKETS, GATES * (len(ORDERS) + 1), 2 * 256 * BUCKETS, 2)
+_START_WEIGHTS = np.array([0.4, 0.6, 0.05, 0.05, 0.5, 0.0])
+
+
+def _learn(batches: Iterator[pa.RecordBatch], folder: str, mixer: Mixer) -> Iterator[pa.RecordBatch]:
+    """Weights times what they were learned on, counts of the maps, tokens and new words of a task."""
+    w, spell = np.tile(_START_WEIGHTS, (TOKEN_GATES, 1)), None
+    seen, spell_seen, n = np.zeros((2, MAP_ROWS * BUCKETS)), np.zeros((2, 256 * BUCKETS)), [0, 0]
+    words: list[bytes] = []
+
+    def learn_words() -> None:
+        nonlocal spell, spell_seen
+        spell, more = mixer.speller.learn(words, spell)
+        spell_seen += more
+        n[1] += len(words)
+        words.clear()
+
+    for _, _, s, _ in _texts(batches, folder, mixer.classes, True):
+        mixer.learn(s, w, seen)
+        n[0] += len(s.h)
+        words += _new_words(s)
+        if len(words) > BATCH:
+            learn_words()
+    learn_words()
+    yield from _segment_rows(np.concatenate([(w * n[0]).ravel(), seen.ravel(), (spell * n[1]).ravel(), spell_seen.ravel(),
+                                             np.array(n, dtype=np.float64)]))
 
 
 # Scores
 
 @dataclass
 class Totals:
-    """What every task needs: N, V, N per class, e, hit rates."""
+    """N, V."""
 
     tokens: int
     types: int
-    class_tokens: np.ndarray
-    new: float
-    hit_rate: np.ndarray
-
-    @property
-    def classes(self) -> list[int]:
-        """The classes with training words, or one class without any."""
-        return np.flatnonzero(self.class_tokens > 0).tolist() or [0]
 
 
 class _Dictionary:
-    """The scores of a chunk's words."""
+    """The training counts of a chunk's words."""
 
-    def __init__(self, folder: str, chunk: int, totals: Totals):
+    def __init__(self, folder: str, chunk: int):
         system, inner = file_system(f"{folder}/chunk={chunk}")
         names = [f.path for f in system.get_file_info(fs.FileSelector(inner))
                  if f.base_name.endswith(".parquet")]
         table = pa.concat_tables([pq.read_table(n, filesystem=system, partitioning=None) for n in names])
         h = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        self.h, self.c = h[order], table.column("c").to_numpy()[order]
-        counts = table.column("by_class").combine_chunks()
-        word = np.repeat(np.arange(len(h)), np.diff(counts.offsets.to_numpy()))
-        flat = counts.flatten()
-        cls, n = flat.field("cls").to_numpy(), flat.field("n").to_numpy()
-        spelled = totals.new * 10.0 ** table.column("spelled").to_numpy()[order]
-        other = (1 - totals.new) * SHARE_OTHER * self.c / max(1, totals.tokens) + spelled + 1e-300
-        self.log = np.empty((len(h), len(totals.classes)), dtype=np.float32)
-        for i, k in enumerate(totals.classes):  # a column at a time
-            own = np.zeros(len(h))
-            own[word[cls == k]] = n[cls == k]
-            own *= (1 - totals.new) * (1 - SHARE_OTHER) / max(1, totals.class_tokens[k])
-            self.log[:, i] = np.log10(own[order] + other)
-        self.base = np.log10((self.c + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
+        self.h, self.c, self.cls = h[order], table.column("c").to_numpy()[order], table.column("cls").to_numpy()[order]
 
 
 def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -399,38 +635,20 @@ def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1], axis=0)
 
 
-def _score(batches: Iterator[pa.RecordBatch], folder: str, totals: Totals) -> Iterator[pa.RecordBatch]:
-    dictionary, chunk = None, None
-    prior = np.log10(np.maximum(totals.class_tokens[totals.classes], 1) / max(1, totals.tokens))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        chunks = batch.column("chunk").to_numpy()
-        for lo, hi, data, offsets in T.text_slices(batch.column("text")):
-            for a, b in _runs(chunks[lo:hi]):
-                if chunks[lo + a] != chunk:
-                    chunk = int(chunks[lo + a])
-                    dictionary = _Dictionary(folder, chunk, totals)
-                h, _, _, bounds = tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                at = np.searchsorted(dictionary.h, h)
-                gate, hit = guesses(h, bounds)
-                rate = totals.hit_rate[np.maximum(gate, 0)]
-                flag = np.where(gate < 0, 0.0, np.log10(np.where(hit, rate, 1 - rate)))
-                words = np.where(hit[:, None], 0.0, dictionary.log[at].astype(np.float64))
-                classes = _row_sums(words, bounds) + prior
-                top = classes.max(axis=1)
-                score = top + np.log10((10.0 ** (classes - top[:, None])).sum(axis=1)) + _row_sums(flag, bounds)
-                n_bytes = np.diff(offsets[a:b + 1])
-                cut = slice(lo + a, b - a)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(cut.start, cut.stop),
-                    "held_out": batch.column("held_out").slice(cut.start, cut.stop),
-                    "n_tokens": pa.array(np.diff(bounds)),
-                    "n_known": pa.array(_row_sums((dictionary.c[at] > 0).astype(np.int64), bounds)),
-                    "train_tokens": pa.array(np.full(b - a, totals.tokens, dtype=np.int64)),
-                    "base_score": pa.array(_row_sums(dictionary.base[at], bounds)),
-                    "score": pa.array(score),
-                    "bits_per_byte": pa.array(-score * np.log2(10) / np.maximum(n_bytes, 1))})
+def _score(batches: Iterator[pa.RecordBatch], folder: str, totals: Totals, mixer: Mixer) -> Iterator[pa.RecordBatch]:
+    for batch, cut, s, offsets in _texts(batches, folder, mixer.classes, False):
+        base = np.log10((s.c + 0.5) / (totals.tokens + 0.5 * (totals.types + 1)))
+        score = _row_sums(mixer.log10(s), s.bounds)
+        rows = cut.stop - cut.start
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id").slice(cut.start, rows),
+            "held_out": batch.column("held_out").slice(cut.start, rows),
+            "n_tokens": pa.array(np.diff(s.bounds)),
+            "n_known": pa.array(_row_sums((s.c > 0).astype(np.int64), s.bounds)),
+            "train_tokens": pa.array(np.full(rows, totals.tokens, dtype=np.int64)),
+            "base_score": pa.array(_row_sums(base, s.bounds)),
+            "score": pa.array(score),
+            "bits_per_byte": pa.array(-score * np.log2(10) / np.maximum(np.diff(offsets), 1))})
 
 
 def held_out_fold(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -456,46 +674,36 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", language:
 
     texts, _ = written(chunked, "texts")
     words, _ = written(texts.select("text", "cls", "held_out", "chunk").mapInArrow(
-        _words, "chunk long, h long, cls int, n long, word binary"), "words")
-
-    guessed = np.zeros(2 * HISTORY)
-    for r in words.filter("chunk IS NULL").groupBy("h").agg(F.sum("n")).collect():
-        guessed[r[0]] = r[1]
-    words = words.filter("chunk IS NOT NULL")
-    vocabulary, _ = written(
-        words.groupBy("h", "cls").agg(F.sum("n").alias("n"), F.min("word").alias("word"))
-        .groupBy("h").agg(F.sum("n").alias("c"), F.min("word").alias("word"),
-                          F.collect_list(F.struct("cls", "n")).alias("by_class")), "vocabulary")
-    n = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
-    by_class = np.zeros(CLASSES)
-    for r in vocabulary.select(F.explode("by_class").alias("b")).groupBy("b.cls").agg(F.sum("b.n")).collect():
-        by_class[r[0]] = r[1]
-    ones, all_ = guessed[1::2], guessed[0::2] + guessed[1::2]
-    totals = Totals(n[0] or 0, n[1], by_class,
-                    min(0.5, max(1e-6, n[2] / max(1, n[0] or 0))), (ones + 0.5) / (all_ + 1))
-
-    train = vocabulary.filter((F.col("c") > 0) & (F.col("word") != F.lit(bytearray(END)))).select("h", "word")
-    tasks = max(1, -(-n[1] // WORDS_PER_TASK))
-    train = train.repartition(tasks, "h").sortWithinPartitions("h")
-    counts = np.zeros((2, SLOTS), dtype=np.int64)
-    parts = np.array_split(np.arange(SLOTS), SEGMENTS)
-    for r in (train.select("word").mapInArrow(_count_tables, "segment long, counts binary")
-              .groupBy("segment").applyInArrow(_add_tables, "segment long, counts binary").collect()):
-        counts[:, parts[r[0]]] = np.frombuffer(r[1], dtype=np.int64).reshape(2, -1)
-    plain = context.broadcast(Speller(counts.astype(np.float32)))
-    learned = train.select("word").mapInArrow(
-        lambda it: _learn(it, plain.value), "words long, weights binary, seen binary").collect()
-    w = sum((np.frombuffer(r[1]).reshape(GATES, -1) for r in learned), np.zeros((GATES, len(ORDERS) + 1)))
-    w /= max(1, sum(r[0] for r in learned))
-    seen = sum((np.frombuffer(r[2]).reshape(2, -1) for r in learned), np.zeros((2, 256 * BUCKETS)))
-    ready = context.broadcast(Speller(counts.astype(np.float32), w, _map_of(seen)))
-
-    spelled = vocabulary.mapInArrow(
-        lambda it: _spell(it, ready.value),
-        "h long, c long, by_class array<struct<cls: int, n: long>>, spelled double")
-    own = words.select("chunk", "h").distinct().join(spelled, "h").repartition("chunk")
-    _, folder = written(own, "chunk-words", ("chunk",))
+        _words, "chunk long, h long, n long, cls int, counts binary"), "words")
+    by_class = _added(words.filter("chunk IS NULL").select(
+        F.col("h").alias("segment"), F.lit(0).alias("task"), "counts"), CLASSES << CODE, np.int32).reshape(1 << CODE, CLASSES)
+    by_class = by_class[:, by_class.sum(axis=0) > 0] if by_class.any() else by_class[:, :1]
+    classes = np.log((by_class + 0.1) / (by_class.sum(axis=0) + 0.1 * len(by_class))).astype(np.float32)
+
+    word = Window.partitionBy("h")
+    counted = (words.filter("chunk IS NOT NULL").select(
+        "chunk", "h", F.sum("n").over(word).alias("c"), F.max(F.struct("n", "cls")).over(word)["cls"].alias("cls"),
+        (F.row_number().over(word.orderBy("chunk")) == 1).alias("first")).repartition("chunk"))
+    own, folder = written(counted, "chunk-words", ("chunk",))
+    n = own.filter("first AND c > 0").agg(F.sum("c"), F.count("*")).first()
+    totals = Totals(n[0] or 0, n[1])
+
+    train = texts.filter("NOT held_out").select("text", "chunk")
+    parts = "segment long, task long, counts binary"
+    found = _added(train.mapInArrow(lambda it: _count(it, folder, classes), parts), _COUNTED, np.int32)
+    bits, spelled, copied = np.split(found, [2 * TOKEN_SLOTS, 2 * (TOKEN_SLOTS + SLOTS)])
+    copied = copied.reshape(3, 2, HISTORY)
+    mixer = Mixer(bits.view(np.complex64), classes, (copied[:, 1] + 0.5) / (copied[:, 0] + 1),
+                  Speller(spelled.reshape(2, SLOTS)))
+    plain = context.broadcast(mixer)
+    w, seen, spell, spell_seen, sizes = np.split(
+        _added(train.mapInArrow(lambda it: _learn(it, folder, plain.value), parts), sum(_LEARNED), np.float64),
+        np.cumsum(_LEARNED)[:-1])
+    ready = context.broadcast(Mixer(
+        mixer.counts, classes, mixer.copied,
+        Speller(mixer.speller.counts, spell.reshape(GATES, -1) / max(1, sizes[1]), _map_of(spell_seen.reshape(2, -1))),
+        w.reshape(TOKEN_GATES, INPUTS) / max(1, sizes[0]), _map_of(seen.reshape(2, -1))))
     return texts.mapInArrow(
-        lambda it: _score(it, folder, totals),
+        lambda it: _score(it, folder, totals, ready.value),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
         "score double, bits_per_byte double").withColumnRenamed("doc_id", doc_id)

@@ -99,6 +99,22 @@ def test_held_out_texts_do_better_than_the_base(spark):
     assert r.s > r.b
 
 
+def test_all_token_bits_are_mixed_in_contexts_across_words(spark):
+    """Texts in which each word follows from the one before: counts of words alone cannot tell."""
+    def text(i):
+        return " ".join(f"w{(i + 7 * j) % 50}" for j in range(60))
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(400)], "doc_id long, text string, lang string")
+    r = mixing.score(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b / 4
+
+
+def test_speller_carries_its_weights():
+    speller = mixing.Speller(np.zeros((2, mixing.SLOTS), np.float32))
+    first, _ = speller.learn([b"abc", b"abd"] * 50)
+    again, _ = speller.learn([b"abc", b"abd"] * 50, first.copy())
+    assert not np.allclose(first, again)
+
+
 def test_url_reputation(spark):
     pages = spark.createDataFrame(
         [(i, f"http://bad.example.org/x{i}", "") for i in range(60)] + [(100 + i, f"https://Good.example.org/{i}?q", "") for i in range(60)]
