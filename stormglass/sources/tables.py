@@ -31,6 +31,9 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+ORDERS_PER_TASK = 50_000  # of customers; a customer's few orders become a row for each month between
+
+
 def _exact(c: str) -> Column:
     return F.col(c).cast("decimal(20,2)")
 
@@ -56,7 +59,12 @@ def macro_obs(tables: dict[str, DataFrame], entity: str = "c_mktsegment") -> Dat
         rows = orders.join(customer, "o_custkey")
     daily = rows.groupBy("entity", "day").agg(
         F.sum("n").alias("n"), F.sum("urgent").alias("urgent"),
-        F.sum("finished").alias("finished"), F.sum("price").alias("price")).repartition("entity")
+        F.sum("finished").alias("finished"), F.sum("price").alias("price"))
+    if entity == "o_custkey":
+        # As many tasks as the orders need: sizes of the shuffle say nothing of the months to come.
+        daily = daily.repartition(max(1, -(-orders.count() // ORDERS_PER_TASK)), "entity")
+    else:
+        daily = daily.repartition("entity")
     month, quarter, n = F.trunc("day", "MM"), F.trunc("day", "quarter"), F.col("n")
 
     def part(series, date, over, under):

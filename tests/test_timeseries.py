@@ -161,3 +161,23 @@ def test_latest_background_and_preview(spark):
     assert rows(ts.latest_rows(df, ["entity"]), "date") == [("a", month(9), 9.0)]
     assert column(ts.background(df, ["entity"], n=3), "x") == [6.0, 7.0, 8.0]
     assert column(ts.preview(df, ["date"], 2, tail=True, need=["x"]), "x") == [8.0, 9.0]
+
+
+def _customer_orders(spark):
+    from pyspark.sql import functions as F
+    return {"orders": spark.range(4000).select(
+        "id", (F.col("id") % 100).alias("o_custkey"), F.expr("timestamp'1995-01-01' + make_interval(0, CAST(id % 61 AS INT))").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"), F.lit(10.0).alias("o_totalprice"))}
+
+
+def test_customers_get_tasks_by_their_orders(spark, monkeypatch):
+    """Small shuffles of orders must not be joined into one task that then holds all months."""
+    from pyspark.sql import functions as F
+    from stormglass.plans import chain, macro
+    from stormglass.sources import tables
+    monkeypatch.setattr(tables, "ORDERS_PER_TASK", 500, raising=False)
+    t = _customer_orders(spark)
+    for df in (chain.targets(spark, t, "o_custkey", 6), macro.aged_fill(spark, t), chain.wide(t, "o_custkey")):
+        used = df.select("entity", F.spark_partition_id().alias("p")).distinct()
+        assert used.groupBy("entity").count().filter("count > 1").count() == 0
+        assert used.select("p").distinct().count() >= 6
