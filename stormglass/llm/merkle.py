@@ -9,7 +9,7 @@ The subroots, ordered by the tree column (null first, by UTF-8 bytes), give the
 Every level is one table. A node finds the others of its run by an equijoin of the level with itself
 on a computed index: the number with its lowest bit flipped for two, else one join for each shift of the slot. The
 nodes in slot 0 then emit the parents. Proofs are handed down by joins from the root, each node adding its siblings
-to the path of its parent, and written after every few levels. Indices come from a range sort whose parts are counted, so no task sees a whole tree.
+to the path of its parent, and written after every few levels; the path of the subroot follows once, at the leaves. Indices come from a range sort whose parts are counted, so no task sees a whole tree.
 
 Defined cases: null fields are `-`. Rows that are equal in the tree and order column are ordered by their leaf, so
 equal rows are separate leaves with equal digests. A lone leaf is its subroot, a lone subroot the root. No rows
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-ARITY, CHAIN = 2, 3
+ARITY, CHAIN = 2, 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 HEX_DIGITS = 64
 _STEP = "struct<slot: int, siblings: binary>"
@@ -46,9 +46,9 @@ def _hex(digests: Column) -> Column:
     return F.lower(F.hex(digests))
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
     """(tree, idx, n, digest, ..) of nodes (tree, place, digest, ..): the number from 0 inside the tree by place
-    and digest, and the nodes of the tree.
+    and digest, and the nodes of the tree; with the largest n.
 
     The rows are sorted over all tasks; equal rows are told apart by a number, so that many of them
     are no single part. What is counted for each part and tree is small.
@@ -63,9 +63,10 @@ def _numbered(nodes: DataFrame) -> DataFrame:
              .withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
              .withColumn("n", F.sum("rows").over(Window.partitionBy("tree")))
              .select("tree", "part", "first", "before", "n"))
+    parts = materialise(parts, "merkle-parts")  # read several times below
     return (placed.join(parts, ["tree", "part"])
             .withColumn("idx", F.col("seq") - F.col("first") + F.col("before"))
-            .drop("row", "part", "seq", "first", "before", "place"))
+            .drop("row", "part", "seq", "first", "before", "place")), parts.agg(F.max("n")).first()[0] or 0
 
 
 def _with_siblings(nodes: DataFrame, arity: int, carry: Sequence[str]) -> DataFrame:
@@ -89,10 +90,9 @@ def _with_siblings(nodes: DataFrame, arity: int, carry: Sequence[str]) -> DataFr
     return out.select("tree", "idx", "n", "digest", "slot", siblings.alias("siblings"), *carry)
 
 
-def _climb(nodes: DataFrame, arity: int, carry: Sequence[str] = ()) -> list[DataFrame]:
-    """All levels of the trees, from the leaves up; the root of a tree is the node with n = 1."""
+def _climb(nodes: DataFrame, most: int, arity: int, carry: Sequence[str] = ()) -> list[DataFrame]:
+    """All levels of the trees, the largest of `most` leaves, from the leaves up; the root of a tree is the node with n = 1."""
     levels, cols = [], list(carry)
-    most = nodes.agg(F.max("n")).first()[0] or 0
     while most:
         level = materialise(_with_siblings(nodes, arity, cols), "merkle-level")
         levels.append(level)
@@ -106,27 +106,26 @@ def _climb(nodes: DataFrame, arity: int, carry: Sequence[str] = ()) -> list[Data
     return levels
 
 
-def _handed_down(levels: Sequence[DataFrame], roots: DataFrame, arity: int, extra: Sequence[str],
-                 carry: Sequence[str]) -> DataFrame:
-    """The nodes of the lowest level with the path from each to the end of the path of its root.
+def _handed_down(levels: Sequence[DataFrame], arity: int, carry: Sequence[str]) -> DataFrame:
+    """(tree, digest, path, carry ..) of the lowest level: the path from each node to the root of its tree.
 
-    roots: (tree, path, extra ..); extra columns are handed down as they are.
+    A root has no parent in the level above and so an empty path; nothing else ends a path.
     """
-    own = F.array(F.struct("slot", "siblings").cast(_STEP))
+    none = F.array().cast(f"array<{_STEP}>")
+    own = F.when(F.col("n") > 1, F.array(F.struct("slot", "siblings").cast(_STEP))).otherwise(none)
     paths = None
     for i, level in reversed(list(enumerate(levels))):
         cols = ["tree", "idx", *([] if i else ["digest", *carry])]
-        found = level.filter("n = 1").join(roots, "tree").select(*cols, "path", *extra)
-        if paths is not None:
-            above = paths.select(F.col("tree").alias("tree_"), F.col("idx").alias("parent"),
-                                 F.col("path").alias("rest"), *extra)
-            below = level.filter("n > 1").join(above, (F.col("tree") == F.col("tree_")) & (
-                F.floor(F.col("idx") / arity) == F.col("parent")))
-            found = found.unionByName(below.select(*cols, F.concat(own, "rest").alias("path"), *extra))
-        paths = found
+        if paths is None:
+            paths = level.select(*cols, own.alias("path"))
+        else:
+            above = paths.select(F.col("tree").alias("tree_"), F.col("idx").alias("parent"), F.col("path").alias("rest"))
+            paths = level.join(above, (F.col("tree") == F.col("tree_")) & (
+                F.floor(F.col("idx") / arity) == F.col("parent")), "left").select(
+                    *cols, F.concat(own, F.coalesce("rest", none)).alias("path"))
         if i and (len(levels) - i) % CHAIN == 0:  # keeps the plan, and what the driver holds of it, small
             paths = materialise(paths, "merkle-paths")
-    return paths
+    return paths.drop("idx")
 
 
 @dataclass(frozen=True)
@@ -149,12 +148,13 @@ class Manifest:
         """
         if not self.levels:
             raise ValueError("an empty table has no proofs")
-        end = self.top[-1].select("tree", F.array().cast(f"array<{_STEP}>").alias("path"), F.col("digest").alias("root"))
-        subroots = _handed_down(self.top, end, self.arity, ["root"], ["name"]).select(
-            F.col("name").alias("tree"), "path", "root", F.col("digest").alias("subroot"))
-        found = _handed_down(self.levels, subroots, self.arity, ["root", "subroot"], self.carry)
+        root = self.top[-1].select("tree", F.col("digest").alias("root"))
+        ends = materialise(_handed_down(self.top, self.arity, ["name"]).join(root, "tree").select(
+            F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", F.col("path").alias("rest")),
+            "merkle-paths")
+        found = _handed_down(self.levels, self.arity, self.carry).join(ends, "tree")
         return found.select(*self.carry, *[_hex(F.col(c)).alias(c) for c in ("subroot", "root")],
-                            _hex(F.col("digest")).alias("leaf"), "path")
+                            _hex(F.col("digest")).alias("leaf"), F.concat("path", "rest").alias("path"))
 
 
 def build(rows: DataFrame, fields: Sequence[str] = FIELDS, tree: str = "lang", order: str = "doc_id",
@@ -168,7 +168,7 @@ def build(rows: DataFrame, fields: Sequence[str] = FIELDS, tree: str = "lang", o
         leaf([F.col(f) for f in fields]).alias("digest"),
         F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in also.items()]).alias("with"))
     leaves = materialise(leaves, "merkle-leaves")
-    levels = _climb(_numbered(leaves), arity, ["with"])
+    levels = _climb(*_numbered(leaves), arity, ["with"])
     if not levels:
         return Manifest([], [], arity, tuple(also))
     subroots = [level.filter("n = 1").select(F.lit("").alias("tree"), F.col("tree").alias("place"), "digest",
@@ -176,7 +176,7 @@ def build(rows: DataFrame, fields: Sequence[str] = FIELDS, tree: str = "lang", o
     every = subroots[0]
     for more in subroots[1:]:
         every = every.union(more)
-    top = _climb(_numbered(every), arity, ["name"])
+    top = _climb(*_numbered(every), arity, ["name"])
     levels[0] = levels[0].select("tree", "idx", "n", "digest", "slot", "siblings", *[F.col(f"with.{n}").alias(n) for n in also])
     return Manifest(levels, top, arity, tuple(also))
 

@@ -107,3 +107,9 @@ def test_root_follows_any_change_and_no_order(spark):
     root = merkle.build(df).root()
     assert merkle.build(spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)).root() == root
     assert merkle.build(spark.createDataFrame(rows[:-1] + [(49, " ", "", "", 0)], SCHEMA)).root() != root
+
+
+def test_a_level_takes_one_join_and_no_union(spark, capsys):
+    merkle.audit(spark.createDataFrame(documents(), SCHEMA)).explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Union" not in plan
