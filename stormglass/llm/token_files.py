@@ -21,6 +21,7 @@ Repeated rows are written each. No documents give no files.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,15 @@ from .files import file_system, new_folder, new_name
 
 LENGTH, ROWS, END_ID = 2_048, 256, 0
 CACHE_PIECES, SLICE_BYTES = 1_000_000, 4 << 20
+TEXT_PIECES, TEXTS, HASH_PIECES = 512, 100, 8_192  # pieces encoded as one text, such texts in a call, pieces hashed at a time
 # Unicode white space beyond ASCII blanks and line ends.
 _OTHER_SPACE = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
                 0x205F, 0x3000)
 _WHOLE = re.compile("[" + "".join(map(chr, _OTHER_SPACE)) + "]|<[|]")
+# The first bytes of what the expression finds: without any of them, there is nothing to search for.
+_MAYBE_WHOLE = np.zeros(256, dtype=bool)
+_MAYBE_WHOLE[[chr(c).encode()[0] for c in _OTHER_SPACE] + [ord("<")]] = True
+_BLANKS = frozenset(np.flatnonzero(T.SPACE).tolist())
 
 
 class Encoder:
@@ -49,6 +55,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.kind = id_type(size)
@@ -58,7 +65,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind)
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as bytes."""
@@ -70,12 +77,13 @@ class Encoder:
         # Pieces that begin with white space can stand side by side without changing each other.
         side, alone = [], []
         for p in new:
-            (side if T.SPACE[p[0]] and not T.SPACE[p[-1]] else alone).append(p)
+            (side if p[0] in _BLANKS and p[-1] not in _BLANKS else alone).append(p)
         for p, ids in zip(alone, self._encode([p.decode() for p in alone])):
             cache[p] = ids.tobytes()
-        for a in range(0, len(side), 50_000):
-            part = side[a:a + 50_000]
-            ids = self._encode([b"".join(part).decode()])[0]
+        for a in range(0, len(side), TEXT_PIECES * TEXTS):
+            part = side[a:a + TEXT_PIECES * TEXTS]
+            ids = np.concatenate(self._encode([b"".join(part[b:b + TEXT_PIECES]).decode()
+                                               for b in range(0, len(part), TEXT_PIECES)]))
             ends = np.cumsum(self.byte_size[ids])
             at = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(p) for p in part])) + 1])
             raw, at = ids.tobytes(), (at * ids.itemsize).tolist()
@@ -93,7 +101,10 @@ class Encoder:
         starts = np.flatnonzero(first)
         starts = starts[starts < n]
         ends = np.append(starts[1:], n)
-        keys = T.byte_spans(data, starts, ends)
+        keys = np.zeros(len(starts), dtype=np.uint64)
+        for a in range(0, len(starts), HASH_PIECES):  # the arrays of a part stay small
+            lo, hi = starts[a:a + HASH_PIECES], ends[a:a + HASH_PIECES]
+            keys[a:a + HASH_PIECES] = T.byte_spans(data[lo[0]:hi[-1]], lo - lo[0], hi - lo[0])
         inverse, _ = pd.factorize(keys)  # numbered in the order of their first occurrences
         upto = np.maximum.accumulate(np.append(-1, inverse))
         at = np.flatnonzero(upto[1:] > upto[:-1])
@@ -113,7 +124,7 @@ class Encoder:
             ids, bounds = self.encode(data, offsets)
             raw = data.tobytes()
             odd = {}
-            if _WHOLE.search(raw.decode()):
+            if _MAYBE_WHOLE[data].any() and _WHOLE.search(raw.decode()):
                 for i in range(hi - lo):
                     text = raw[offsets[i]:offsets[i + 1]].decode()
                     if _WHOLE.search(text):
