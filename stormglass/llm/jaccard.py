@@ -66,7 +66,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
 
 
 def _batch_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    return [s for _, _, data, offsets in T.text_slices(column) for s in shingle_sets(data, offsets, size)]
+    return [s for _, _, data, offsets in T.text_slices(column, T.CACHE_BYTES) for s in shingle_sets(data, offsets, size)]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:

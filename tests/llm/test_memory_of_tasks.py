@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 
-from stormglass.llm import token_files
+from stormglass.llm import quality, token_files
 from stormglass.llm import text as T
 
 
@@ -29,6 +29,20 @@ def traced(work):
         tracemalloc.stop()
 
 
+def test_quality_scan_holds_little_of_a_large_batch():
+    column = texts(4_000_000)
+    n = len(column)
+    batch = pa.RecordBatch.from_pydict({"_row": pa.array(range(n)), "_id": pa.array(range(n)),
+                                        "_host": pa.array(["h"] * n), "_text": column})
+    found = []
+    T._powers.clear()
+    assert traced(lambda: found.extend(quality._scan(iter([batch])))) < 25
+    assert sum(b.num_rows for b in found) == n and len(found) < 10
+    alone = [b for i in range(0, n, 97) for b in quality._scan(iter([batch.slice(i, 1)]))]
+    whole = pa.Table.from_batches(found).to_pylist()
+    assert [b.to_pylist()[0] for b in alone] == whole[::97]
+
+
 def test_pieces_are_encoded_without_offsets_in_little_memory():
     path = public_tokenizers.path("byte_bpe_50k.json")
     column = texts(4_000_000)
