@@ -10,18 +10,22 @@ shingles (64-bit hashes). The steps:
    the bucket keys. A class with fewer shared keys than any partner would demand has no link
    and leaves. The table of frequent shingles has a fixed size and only decides the order,
    hence the cost.
-3. *Star.* Every class is compared with the bucket leader with which it shares most buckets.
-   Links found so far are merged to components, so groups of near copies collapse in linear
-   work.
-4. *Trees.* In buckets that still hold several components, members sorted by size form a tree:
+3. *Star.* Every class is compared with the bucket leader with which it shares most buckets,
+   if those are as many as sets of their two sizes share at least. Links found so far are merged
+   to components, so groups of near copies collapse in linear work.
+4. *Groups.* Buckets that still hold several components and have the same smallest class are one
+   group: near copies share dozens of buckets and are then compared in a few groups. Of the groups
+   of a class the largest are left out as long as their buckets are fewer than l together: the
+   smallest group that two linked sets share is kept by both.
+5. *Trees.* The members of a group, sorted by size, form a tree:
    a node holds the size range and the OR of its members' shingle bitmaps. Pairs of nodes are
    walked from the root; a pair is dropped if no two of its members can overlap enough:
    overlap <= (largest n - bits set) + bits common to both nodes. Leaf pairs are bounded pair
-   by pair. A big bucket is cut into blocks, and block pairs with compatible sizes go to
+   by pair. A big group is cut into blocks, and block pairs with compatible sizes go to
    different tasks. Of the surviving candidates of a class in a task `k` are verified on the
-   full sets, other components in turn; where more survived, links found are merged and the
-   step repeats with a larger k. It ends when nothing is left untested, so no link between
-   components is missed.
+   full sets, other components in turn; where more survived, links found are merged and those
+   tasks are walked again with a larger k. It ends when nothing is left untested, so no link
+   between components is missed.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link with
 nothing; fewer words than the size are one shingle. A document with a null id is in its class
@@ -47,7 +51,7 @@ from .graph import components
 SIZE, PERCENT = 4, 85
 FREQUENT = 65_536       # entries of the table that orders frequent shingles
 BATCH_FREQUENT = 8      # a shingle is reported from a batch that holds it in so many documents
-BLOCK = 1_024           # members of a bucket that go to a task together
+BLOCK = 1_024           # members of a group that go to a task together
 LEAF, FANOUT = 32, 8
 LIMIT_BROADCAST = 2_000_000  # ids broadcast to filter texts; with more, the join shuffles
 
@@ -113,6 +117,22 @@ def _least_shared(n, percent: int):
     return F.floor((n - F.ceil(n * percent / F.lit(100)) + 2) / 2)
 
 
+def _least_with_any(n, percent: int):
+    """l of the smallest partner of a set of size n, as a Column."""
+    return _least_shared(F.ceil(n * percent / F.lit(100)), percent)
+
+
+def _least_of_pair(a, b, percent: int):
+    """How many bucket keys linked sets of sizes a and b share at least, as a Column.
+
+    Of the keys of either all but n - overlap are in the other set; those of the set whose keys end
+    first in the common order are among the other's keys.
+    """
+    def beyond(n):  # keys - n
+        return F.least(n, n - F.ceil(n * percent / F.lit(100)) + _least_shared(n, percent)) - n
+    return F.least(beyond(a), beyond(b)) + F.ceil((a + b) * percent / F.lit(100 + percent))
+
+
 class _Order:
     def __init__(self, frequent: np.ndarray):
         self.rank = np.argsort(frequent)
@@ -182,7 +202,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Members:
-    """Members of one or two blocks of a bucket, with their bitmaps at any smaller width."""
+    """Members of one or two blocks of a group, with their bitmaps at any smaller width."""
 
     def __init__(self, rows: list[tuple]):
         self.rows = rows
@@ -254,7 +274,7 @@ def _leaf_pairs(m: _Members, a: _Node, b: _Node, percent: int):
 
 
 def tree_pairs(rows: list[tuple], split: int, percent: int, k: int) -> list[tuple]:
-    """Candidate pairs (cls, cls, cut) between different components of a bucket.
+    """Candidate pairs (cls, cls, cut) between different components of a group.
 
     rows: (cls, n, component, bitmap), sorted by n in rows[:split] and in rows[split:]; with
     split = 0 all pairs inside, else all pairs across. Of a class the k pairs of largest bound are
@@ -291,23 +311,25 @@ def tree_pairs(rows: list[tuple], split: int, percent: int, k: int) -> list[tupl
 
 
 def _walk(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task (token, i, j), side and size; one tree walk for each task."""
+    """Rows sorted by task (leader, i, j), side and size; one tree walk for each task."""
     key, rows, split, out = None, [], 0, []
 
     def close():
-        return tree_pairs(rows, split, percent, k) if len(rows) > 1 and not (key[1] != key[2] and not split) else []
+        if len(rows) < 2 or key[1] != key[2] and not split:
+            return []
+        return [(*pair, *key) for pair in tree_pairs(rows, split, percent, k)]
 
     def batch_of(pairs):
         return pa.RecordBatch.from_pydict({
-            "a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()),
-            "cut": pa.array([p[2] for p in pairs], pa.bool_())})
+            name: pa.array([p[at] for p in pairs], pa.bool_() if name == "cut" else pa.int64())
+            for at, name in enumerate(("a", "b", "cut", "leader", "i", "j"))})
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "side", "cls", "n", "comp", "bits")]
-        for token, i, j, side, cls, n, comp, bits in zip(*cols):
-            if (token, i, j) != key:
+        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "cls", "n", "comp", "bits")]
+        for leader, i, j, side, cls, n, comp, bits in zip(*cols):
+            if (leader, i, j) != key:
                 out += close() if key else []
-                key, rows, split = (token, i, j), [], 0
+                key, rows, split = (leader, i, j), [], 0
             if side == 1 and not split:
                 split = len(rows)
             rows.append((cls, n, comp, bits))
@@ -320,7 +342,10 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[p
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the full sets."""
-    both = (pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+    pairs = materialise(pairs, "pairs")
+    # Only the sets that a pair names are moved; each side is told apart before its join.
+    x, y = (full.toDF(c, s).join(pairs.select(c).distinct(), c, "left_semi") for c, s in (("a", "x"), ("b", "y")))
+    both = (pairs.join(x, "a").join(y, "b")
             .select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"),
                     (F.size("x") + F.size("y")).alias("all")))
     return (both.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both")))
@@ -350,34 +375,49 @@ def _rare_held_by_several(keys: DataFrame) -> DataFrame:
 
 def _shared(shared: DataFrame, percent: int) -> DataFrame:
     """The rows (token, cls, n, ..) of classes with enough keys; each key is held by several."""
-    least = F.ceil(F.col("n") * percent / F.lit(100))  # the smallest partner
     enough = (shared.groupBy("cls").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-              .filter(F.col("k") >= _least_shared(least, percent)).select("cls"))
+              .filter(F.col("k") >= _least_with_any(F.col("n"), percent)).select("cls"))
     return shared.join(enough, "cls", "left_semi")
 
 
-def _tree_tasks(live: DataFrame, comps: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Members of buckets that hold several components, by block pair."""
-    members = (live.join(comps.toDF("cls", "comp"), "cls", "left")
-               .select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp")))
-    members = materialise(_held_by_several(members, "comp"), "members")
-    members = materialise(_shared(members, percent), "members")
-    # Buckets with the same members give the same pairs: one of them is enough.
-    signed = members.groupBy("token").agg(
-        F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"),
-        F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    single = signed.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = members.join(single, "token", "left_semi")
-    place = Window.partitionBy("token").orderBy("n", "comp", "cls")
-    members = materialise(members.withColumn(
-        "block", F.floor((F.row_number().over(place) - 1) / BLOCK)), "members")
-    blocks = members.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = blocks.toDF("token", "i", "least_i", "most_i"), blocks.toDF("token", "j", "least_j", "most_j")
-    tasks = left.join(right, "token").filter(
-        (F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)).select("token", "i", "j")
-    sides = tasks.select("token", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
-        tasks.filter("i < j").select("token", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    return members.join(sides, ["token", "block"]).join(bits, "cls")
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of classes with their component so far."""
+    return rows.join(comps.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _groups(live: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(leader, cls, n, block): the groups of buckets that hold several components."""
+    members = _placed(live.select("token", "cls", "n"), comps)
+    buckets = (members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                            F.min("cls").alias("leader")).filter("lo < hi").select("token", "leader"))
+    held = materialise(members.join(buckets, "token").groupBy("leader", "cls").agg(
+        F.count("*").alias("k"), F.min("n").alias("n"), F.min("comp").alias("comp")), "groups")
+    sizes = held.groupBy("leader").agg(F.count("*").alias("size"))
+    larger = (Window.partitionBy("cls").orderBy(F.desc("size"), F.desc("leader"))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = materialise(held.join(sizes, "leader").withColumn("k", F.sum("k").over(larger))
+                       .filter(F.col("k") >= _least_with_any(F.col("n"), percent)).drop("k", "size"), "groups")
+    several = (held.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+               .filter("lo < hi").select("leader"))
+    place = Window.partitionBy("leader").orderBy("n", "comp", "cls")
+    return materialise(held.join(several, "leader", "left_semi").withColumn(
+        "block", F.floor((F.row_number().over(place) - 1) / BLOCK)).drop("comp"), "members")
+
+
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(leader, i, j) of the pairs of blocks of a group whose sizes may link."""
+    blocks = members.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = blocks.toDF("leader", "i", "least_i", "most_i"), blocks.toDF("leader", "j", "least_j", "most_j")
+    return left.join(right, "leader").filter(
+        (F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)).select("leader", "i", "j")
+
+
+def _tree_tasks(members: DataFrame, tasks: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
+    """The members of both blocks of each task (leader, i, j), with components and bitmaps."""
+    sides = tasks.select("leader", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
+        tasks.filter("i < j").select("leader", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    return _placed(members.join(sides, ["leader", "block"]), comps).join(bits, "cls").select(
+        "leader", "i", "j", "side", "cls", "n", "comp", "bits")
 
 
 def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, percent: int = PERCENT
@@ -402,9 +442,9 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
         "token", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"))
     star = (live.join(leaders, "token")
             .filter((F.col("cls") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n"), percent))
-            .groupBy("cls", "leader").agg(F.count("*").alias("shared"),
-                                          F.min(F.least("n", "leader_n")).alias("least"))
-            .filter(F.col("shared") >= _least_shared(F.col("least"), percent))
+            .groupBy("cls", "leader").agg(F.count("*").alias("shared"), F.min("n").alias("n"),
+                                          F.min("leader_n").alias("leader_n"))
+            .filter(F.col("shared") >= _least_of_pair(F.col("n"), F.col("leader_n"), percent))
             .groupBy("cls").agg(F.max(F.struct("shared", "leader")).alias("best"))
             .select(F.col("cls").alias("a"), F.col("best.leader").alias("b")))
     needed = materialise(
@@ -420,22 +460,25 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
     let_go(spark)
 
     links = materialise(_verified(star, full, percent), "links")
-    comps = components(links.toDF("u", "v"))
-    bits, k = None, 4
+    comps = materialise(components(links.toDF("u", "v")), "components")
+    bits = full.mapInArrow(_bitmaps, "cls long, bits binary")
+    members, k = _groups(live, comps, percent), 4
+    tasks = _block_pairs(members, percent)
     while True:
-        comps = materialise(comps, "components")
-        bits = bits or full.mapInArrow(_bitmaps, "cls long, bits binary")
-        tasks = _tree_tasks(live, comps, bits, percent)
+        let_go(spark)
         walked = materialise(
-            tasks.select("token", "i", "j", "side", "cls", "n", "comp", "bits")
-            .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "n", "cls")
-            .mapInArrow(lambda it, k=k: _walk(it, percent, k), "a long, b long, cut boolean"), "walked")
+            _tree_tasks(members, tasks, comps, bits)
+            .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "n", "cls")
+            .mapInArrow(lambda it, k=k: _walk(it, percent, k),
+                        "a long, b long, cut boolean, leader long, i long, j long"), "walked")
         new = materialise(_verified(walked.select("a", "b").distinct(), full, percent), "links")
         links = links.union(new)
         if new.limit(1).count():
-            comps = components(links.toDF("u", "v"))
-        if not walked.filter("cut").limit(1).count():
-            return sets.select("doc_id", "n", "cls"), materialise(comps, "components")
+            comps = materialise(components(links.toDF("u", "v")), "components")
+        # All candidates of the other tasks have been verified.
+        tasks = walked.filter("cut").select("leader", "i", "j").distinct()
+        if not tasks.limit(1).count():
+            return sets.select("doc_id", "n", "cls"), comps
         k *= 8
 
 
