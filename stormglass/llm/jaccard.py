@@ -21,11 +21,10 @@ shingles (64-bit hashes). The steps:
    a node holds the size range and the OR of its members' shingle bitmaps. Pairs of nodes are
    walked from the root; a pair is dropped if no two of its members can overlap enough:
    overlap <= (largest n - bits set) + bits common to both nodes. Leaf pairs are bounded pair
-   by pair. A big group is cut into blocks, and block pairs with compatible sizes go to
-   different tasks. Of the surviving candidates of a class in a task `k` are verified on the
-   full sets, other components in turn; where more survived, links found are merged and those
-   tasks are walked again with a larger k. It ends when nothing is left untested, so no link
-   between components is missed.
+   by pair. A big group is cut into blocks of bounded total size, and block pairs with compatible
+   sizes go to different tasks, each with the full sets of its members. A surviving candidate is
+   verified there at once, unless links found before in the task already joined its components;
+   every other pair of components is tested, so one walk misses no link between components.
 
 Defined cases: null or empty texts, and texts without words, have no shingles and link with
 nothing; fewer words than the size are one shingle. A document with a null id is in its class
@@ -35,7 +34,6 @@ different texts are separate. Other columns are ignored by `components_of`, and
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +49,8 @@ from .graph import components
 SIZE, PERCENT = 4, 85
 FREQUENT = 65_536       # entries of the table that orders frequent shingles
 BATCH_FREQUENT = 8      # a shingle is reported from a batch that holds it in so many documents
-BLOCK = 1_024           # members of a group that go to a task together
+BLOCK = 1_024           # members of a group that go to a task together, fewer if
+FULL = 4_096            # they have more shingles than this on average
 LEAF, FANOUT = 32, 8
 LIMIT_BROADCAST = 2_000_000  # ids broadcast to filter texts; with more, the join shuffles
 
@@ -193,21 +192,17 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        bits = [bitmap(flat[at[i]:at[i + 1]]) for i in range(len(lists))]
-        yield pa.RecordBatch.from_pydict({"cls": batch.column(0), "bits": pa.array(bits, pa.binary())})
-
-
 class _Members:
-    """Members of one or two blocks of a group, with their bitmaps at any smaller width."""
+    """Members of one or two blocks of a group, with their bitmaps at any smaller width.
 
-    def __init__(self, rows: list[tuple]):
-        self.rows = rows
-        self.n = np.array([r[1] for r in rows], dtype=np.int64)
-        self.comp = np.array([r[2] for r in rows], dtype=np.int64)
+    rows: (component, shingles). Components are merged as links are found.
+    """
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+        self.comp = np.array([r[0] for r in rows], dtype=np.int64)
+        self.sets = [r[1] for r in rows]
+        self.n = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.own = [np.frombuffer(bitmap(s), dtype=np.uint64) for s in self.sets]
         self._cache: dict[tuple, np.ndarray] = {}
 
     def bits(self, ids: tuple[int, int], width: int) -> np.ndarray:
@@ -215,8 +210,7 @@ class _Members:
         key = (*ids, width)
         if key not in self._cache:
             out = []
-            for r in self.rows[ids[0]:ids[1]]:
-                b = np.frombuffer(r[3], dtype=np.uint64)
+            for b in self.own[ids[0]:ids[1]]:
                 while b.nbytes > width:
                     b = b[:len(b) // 2] | b[len(b) // 2:]
                 out.append(b)
@@ -260,7 +254,7 @@ def _may_link(a: _Node, b: _Node, percent: int) -> bool:
 
 
 def _leaf_pairs(m: _Members, a: _Node, b: _Node, percent: int):
-    """(i, j, bound on the overlap) of the pairs of two leaves that may link."""
+    """Pairs (i, j) of two leaves that may link, those of the largest bound on the overlap first."""
     width = min(a.width, b.width)
     x, y = m.bits((a.lo, a.hi), width), m.bits((b.lo, b.hi), width)
     n, k = m.n[a.lo:a.hi, None], m.n[None, b.lo:b.hi]
@@ -270,69 +264,69 @@ def _leaf_pairs(m: _Members, a: _Node, b: _Node, percent: int):
     if a is b:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
-    return i + a.lo, j + b.lo, bound[i, j]
+    best = np.argsort(-bound[i, j], kind="stable")
+    return zip((i[best] + a.lo).tolist(), (j[best] + b.lo).tolist())
+
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def tree_pairs(rows: list[tuple], split: int, percent: int, k: int) -> list[tuple]:
-    """Candidate pairs (cls, cls, cut) between different components of a group.
 
-    rows: (cls, n, component, bitmap), sorted by n in rows[:split] and in rows[split:]; with
-    split = 0 all pairs inside, else all pairs across. Of a class the k pairs of largest bound are
-    given, the best one with each other component first; cut says that there were more.
+def tree_links(rows: list[tuple[int, np.ndarray]], split: int, percent: int) -> list[tuple[int, int]]:
+    """Links (component, smaller component) that join the components of a group as far as any do.
+
+    rows: (component, shingles), sorted by the number of shingles in rows[:split] and in
+    rows[split:]; with split = 0 all pairs inside are compared, else all pairs across.
     """
     m = _Members(rows)
     stack = ([(_tree(m, 0, split), _tree(m, split, len(rows)))] if split
              else [(t, t) for t in [_tree(m, 0, len(rows))]])
-    found = defaultdict(list)
+    found = []
     while stack:
         a, b = stack.pop()
+        one = m.comp[a.lo]
+        if (m.comp[a.lo:a.hi] == one).all() and (m.comp[b.lo:b.hi] == one).all():
+            continue
         if not _may_link(a, b, percent) and a is not b:
             continue
         if a.children or b.children:
             left, right = a.children or [a], b.children or [b]
             stack += [(x, y) for p, x in enumerate(left) for q, y in enumerate(right) if a is not b or p <= q]
             continue
-        for i, j, bound in zip(*(v.tolist() for v in _leaf_pairs(m, a, b, percent))):
-            # Kept for the member of the smaller component id's counterpart: one side is enough.
-            x, y = (i, j) if m.comp[i] > m.comp[j] else (j, i)
-            found[x].append((-bound, y))
-    out = []
-    for x, partners in found.items():
-        if len(partners) > k:
-            nth = defaultdict(int)
-            ranked = []
-            for bound, y in sorted(partners):
-                ranked.append((nth[int(m.comp[y])], bound, y))
-                nth[int(m.comp[y])] += 1
-            out += [(rows[x][0], rows[y][0], True) for _, _, y in sorted(ranked)[:k]]
-        else:
-            out += [(rows[x][0], rows[y][0], False) for _, y in partners]
-    return out
-
-
-def _walk(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
+        for i, j in _leaf_pairs(m, a, b, percent):
+            if m.comp[i] != m.comp[j] and linked(m.sets[i], m.sets[j], percent):
+                low, high = sorted((int(m.comp[i]), int(m.comp[j])))
+                m.comp[m.comp == high] = low
+                found.append((high, low))
+    return found
+
+
+def _walk(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by task (leader, i, j), side and size; one tree walk for each task."""
     key, rows, split, out = None, [], 0, []
 
     def close():
-        if len(rows) < 2 or key[1] != key[2] and not split:
-            return []
-        return [(*pair, *key) for pair in tree_pairs(rows, split, percent, k)]
+        return tree_links(rows, split, percent) if len(rows) > 1 and (key[1] == key[2] or split) else []
 
-    def batch_of(pairs):
-        return pa.RecordBatch.from_pydict({
-            name: pa.array([p[at] for p in pairs], pa.bool_() if name == "cut" else pa.int64())
-            for at, name in enumerate(("a", "b", "cut", "leader", "i", "j"))})
+    def batch_of(links):
+        return pa.RecordBatch.from_pydict({name: pa.array([x[at] for x in links], pa.int64())
+                                           for at, name in enumerate(("u", "v"))})
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "cls", "n", "comp", "bits")]
-        for leader, i, j, side, cls, n, comp, bits in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "comp")]
+        lists = batch.column("shingles")
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for r, (leader, i, j, side, comp) in enumerate(zip(*cols)):
             if (leader, i, j) != key:
                 out += close() if key else []
                 key, rows, split = (leader, i, j), [], 0
             if side == 1 and not split:
                 split = len(rows)
-            rows.append((cls, n, comp, bits))
+            rows.append((comp, flat[at[r]:at[r + 1]]))
         if len(out) > 10_000:
             yield batch_of(out)
             out = []
@@ -386,7 +380,7 @@ def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _groups(live: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(leader, cls, n, block): the groups of buckets that hold several components."""
+    """(leader, cls, n, comp, block): the groups of buckets that hold several components."""
     members = _placed(live.select("token", "cls", "n"), comps)
     buckets = (members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                             F.min("cls").alias("leader")).filter("lo < hi").select("token", "leader"))
@@ -399,9 +393,11 @@ def _groups(live: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
                        .filter(F.col("k") >= _least_with_any(F.col("n"), percent)).drop("k", "size"), "groups")
     several = (held.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .filter("lo < hi").select("leader"))
-    place = Window.partitionBy("leader").orderBy("n", "comp", "cls")
+    place = (Window.partitionBy("leader").orderBy("n", "comp", "cls")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    room = F.sum(F.greatest("n", F.lit(FULL))).over(place)
     return materialise(held.join(several, "leader", "left_semi").withColumn(
-        "block", F.floor((F.row_number().over(place) - 1) / BLOCK)).drop("comp"), "members")
+        "block", F.floor((room - 1) / (BLOCK * FULL))), "members")
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -412,12 +408,12 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
         (F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)).select("leader", "i", "j")
 
 
-def _tree_tasks(members: DataFrame, tasks: DataFrame, comps: DataFrame, bits: DataFrame) -> DataFrame:
-    """The members of both blocks of each task (leader, i, j), with components and bitmaps."""
+def _tree_tasks(members: DataFrame, tasks: DataFrame, full: DataFrame) -> DataFrame:
+    """The members of both blocks of each task (leader, i, j), with components and sets."""
     sides = tasks.select("leader", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
         tasks.filter("i < j").select("leader", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    return _placed(members.join(sides, ["leader", "block"]), comps).join(bits, "cls").select(
-        "leader", "i", "j", "side", "cls", "n", "comp", "bits")
+    return members.join(sides, ["leader", "block"]).join(full, "cls").select(
+        "leader", "i", "j", "side", "cls", "n", "comp", "shingles")
 
 
 def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, percent: int = PERCENT
@@ -461,25 +457,15 @@ def link_classes(docs: DataFrame, text: str, doc_id: str, size: int = SIZE, perc
 
     links = materialise(_verified(star, full, percent), "links")
     comps = materialise(components(links.toDF("u", "v")), "components")
-    bits = full.mapInArrow(_bitmaps, "cls long, bits binary")
-    members, k = _groups(live, comps, percent), 4
-    tasks = _block_pairs(members, percent)
-    while True:
-        let_go(spark)
-        walked = materialise(
-            _tree_tasks(members, tasks, comps, bits)
-            .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "n", "cls")
-            .mapInArrow(lambda it, k=k: _walk(it, percent, k),
-                        "a long, b long, cut boolean, leader long, i long, j long"), "walked")
-        new = materialise(_verified(walked.select("a", "b").distinct(), full, percent), "links")
-        links = links.union(new)
-        if new.limit(1).count():
-            comps = materialise(components(links.toDF("u", "v")), "components")
-        # All candidates of the other tasks have been verified.
-        tasks = walked.filter("cut").select("leader", "i", "j").distinct()
-        if not tasks.limit(1).count():
-            return sets.select("doc_id", "n", "cls"), comps
-        k *= 8
+    members = _groups(live, comps, percent)
+    let_go(spark)
+    walked = materialise(
+        _tree_tasks(members, _block_pairs(members, percent), full)
+        .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "n", "cls")
+        .mapInArrow(lambda it: _walk(it, percent), "u long, v long"), "walked")
+    if walked.limit(1).count():
+        comps = materialise(components(comps.toDF("u", "v").union(walked)), "components")
+    return sets.select("doc_id", "n", "cls"), comps
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stormglass.llm import jaccard
+from stormglass.llm import graph, jaccard
 
 
 def families(n_families, n_copies, n_words=240, edits=(2, 14), seed=3):
@@ -79,3 +79,27 @@ def test_least_shared_keys_of_a_pair(spark):
         need = jaccard._least_of_pair(F.col("a"), F.col("b"), percent)
         assert not table.filter(F.col("shared") < need).collect()
         assert table.filter(need > 0).count() > 10
+
+
+@pytest.mark.parametrize("full", [jaccard.FULL, 64])
+def test_links_are_found_in_one_walk(spark, written, monkeypatch, full):
+    """Copies with many candidates too far apart take no second walk and no verification by joins."""
+    monkeypatch.setattr(jaccard, "FULL", full)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rows = families(2, 60, edits=(4, 16), seed=8)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.components_of(table).collect()) == named(rows)
+    names = [name for name, _ in written]
+    assert names.count("walked") == 1 and names.count("pairs") == 1  # pairs: those with bucket leaders
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    names, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name="table": names.append(name) or write(df, name))
+    def found(rows):
+        names.clear()
+        return sorted(tuple(r) for r in graph.components(spark.createDataFrame(rows, "u long, v long")).collect())
+    assert found([(5, 1), (1, 7), (7, 1), (9, 2), (3, 3), (None, 4)]) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert names == ["edges"]
+    assert found([(i, i + 1) for i in range(20)] + [(40, 30)]) == [(i, 0) for i in range(21)] + [(30, 30), (40, 30)]
+    assert "small-star" in names
